@@ -164,3 +164,12 @@ def with_utc(df: DataFrame) -> DataFrame:
     hours = ("INTERVAL 60 MINUTES", "INTERVAL 30 MINUTES")
     late = F.when(F.col("utc_zone") != "UTC", F.coalesce(*[F.when(back(h), F.unix_micros(first + F.expr(h))) for h in hours]))
     return df.withColumns({"early_us": F.when(F.col("utc_zone") == "UTC", F.col("local_us")).otherwise(F.unix_micros(first)), "late_us": late})
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a timestamp column; one without a zone is read as UTC, whatever the session's zone."""
+    c = F.col(name)
+    if df.schema[name].dataType.typeName() != "timestamp_ntz":
+        return F.unix_micros(c)
+    clock = (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + clock

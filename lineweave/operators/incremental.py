@@ -25,6 +25,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timestamps import micros
+
 PENDING, LEASED, DONE = "pending", "leased", "done"
 
 
@@ -66,7 +68,7 @@ def changed_mappings(mapping_entries: DataFrame, runs: DataFrame) -> DataFrame:
     """(record_id) of the current versions of mappings that the last successful run had not read, if they say something else."""
     m = mapping_entries.select("entry_id", "pipeline_id", "step_index", "original", "transformed", "created_at", "arrived_at").join(marks(runs), "pipeline_id", "left")
     order = F.struct("created_at", "entry_id")
-    after = F.col("mark").isNull() | (F.unix_micros("arrived_at") > F.col("mark") * 1_000_000)
+    after = F.col("mark").isNull() | (micros(m, "arrived_at") > F.col("mark") * 1_000_000)
     seen = F.when(~after, order)
     g = m.groupBy("pipeline_id", "step_index", "original").agg(
         F.max_by(F.struct("entry_id", "transformed", after.alias("after")), order).alias("now"), F.max_by(F.struct("transformed"), seen).alias("was")

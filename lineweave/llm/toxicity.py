@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1600
 #: Of the sentences of unmarked texts, so many by a hash, and so many that look worst so far, are fitted on.
 TRAIN_PLAIN, TRAIN_HARD = 3000, 2000
 #: The share of unmarked texts' sentences that look less abusive than any that counts as abusive (the rest: wrong marks).
@@ -83,7 +83,7 @@ def featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\x00".join(sentences) + "\x00"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter((len(s) for s in sentences), np.int64, len(sentences))
-    owner = np.repeat(np.arange(len(sentences)), sizes + 1)
+    owner = np.repeat(np.arange(len(sentences), dtype=np.int32), sizes + 1)
     hashes, owners = [], []
     h = np.zeros(len(codes), np.uint32)
     last = codes == 0
@@ -194,12 +194,12 @@ def fit(texts: list[str], marks: list[int]) -> Model:
     flat = [s for p in parts for s in p]
     if len(set(marks)) < 2 or not flat:
         return Model(np.zeros(1 << BITS, np.float32), -1.0, 0.0)
-    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     marked = y_doc[doc]
     h, n = featurize(flat)
     starts = np.cumsum(n) - n
     root = np.sqrt(np.maximum(n, 1))
-    owner = np.repeat(np.arange(len(n)), n)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
     draw = np.array([zlib.crc32(s.encode()) for s in flat])
     fold = np.arange(len(y_doc)) % FOLDS
 

@@ -184,12 +184,12 @@ def clean(text: str) -> str:
     return text.lstrip("\ufeff").rstrip("\r\n")
 
 
-_MASK = {ord(str(i)): "0" for i in range(10)}
+_MASK = bytes.maketrans(b"123456789", b"000000000")
 
 
 def words_of(t: str) -> list[str]:
     """The words of a line with every digit as 0; long words of letters mixed with digits (hashes, ids) as ``*``."""
-    return ["*" if len(w) > 30 and "0" in w and w.isalnum() else w for w in t.translate(_MASK).split()]
+    return ["*" if len(w) > 30 and "0" in w and w.isalnum() else w for w in t.encode("utf-8", "replace").translate(_MASK).decode().split()]
 
 
 #: Words this far into a line share one position, so that the frequent pairs are bounded.

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import share_of
+
 TRAIN_DOCS = 1600
 #: Of the sentences of unmarked texts, so many by a hash, and so many that look worst so far, are fitted on.
 TRAIN_PLAIN, TRAIN_HARD = 3000, 2000
@@ -241,10 +243,14 @@ def fit(texts: list[str], marks: list[int]) -> Model:
 
 
 def labelled(documents: DataFrame, doc_labels: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """(text, toxic): documents with a clear majority of marks, at most ``most`` of them, chosen by a hash of the id."""
+    """(text, toxic): documents with a clear majority of marks, at most ``most`` of them, chosen by a hash of the id.
+
+    Ids are chosen first; only the texts of the chosen ones leave their tasks.
+    """
     marks = doc_labels.filter("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("m")).filter("m <> 0.5")
-    rows = documents.select("doc_id", "text").filter("text is not null").join(marks, "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", (F.col("m") > 0.5).cast("int").alias("toxic"))
+    chosen = share_of(marks, ["doc_id"], 2 * most).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", (F.col("m") > 0.5).cast("int").alias("toxic"))
 
 
 def train(documents: DataFrame, doc_labels: DataFrame, most: int = TRAIN_DOCS) -> Model:

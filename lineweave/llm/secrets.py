@@ -207,12 +207,14 @@ def _with_extent(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("_rank", F.dense_rank().over(w)).join(before, ["path", "chunk"])
     rows = rows.withColumn("_key", F.col("line_number") - F.col("_rank") - F.col("_before"))
     mark = F.when(F.col("kind").isin(MARK_PRIVATE, MARK_OTHER, MARK_END), F.struct("kind", "_key"))
-    head = F.when(~F.col("kind").isin(LONE), F.struct("kind", "_key", "goes_on", "line_number"))
+    # What a lone literal can carry on: the line before it, unless that is a lone literal that ends there.
+    head = F.when((F.col("kind") != LONE) | ~F.col("goes_on"), F.struct("kind", "_key", "goes_on", "line_number"))
     rows = rows.withColumns({"_mark": mark, "_head": head})
     s = Window.partitionBy("path", "chunk").orderBy("line_number", "line_id")
     ends = rows.groupBy("path", "chunk").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct("line_number", "line_id"))).alias("m"), F.max_by("_head", F.when(F.col("_head").isNotNull(), F.struct("line_number", "line_id"))).alias("h"))
     carry = ends.select("path", "chunk", F.last("m", True).over(c).alias("_m"), F.last("h", True).over(c).alias("_h"))
-    rows = rows.withColumns({"_mark": F.last("_mark", True).over(s), "_head": F.last("_head", True).over(s)}).join(carry, ["path", "chunk"], "left")
+    above = Window.partitionBy("path", "chunk").orderBy("line_number").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_mark": F.last("_mark", True).over(s), "_head": F.last("_head", True).over(above)}).join(carry, ["path", "chunk"], "left")
     m, h = F.coalesce("_mark", "_m"), F.coalesce("_head", "_h")
     in_block = (F.col("kind").isin(BODY, LONE)) & (m["kind"] == MARK_PRIVATE) & (m["_key"] == F.col("_key"))
     carried_on = (F.col("kind") == LONE) & (h["kind"] == FOUND) & h["goes_on"] & (h["_key"] == F.col("_key"))

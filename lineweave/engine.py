@@ -194,7 +194,7 @@ class _Run:
                 self.keep(ok, i)
         elif s.type == "transform":
             new = transformed(s, p, v, self.settings)
-            self.measure(i, count(p, v), new != v) if self.stats else None
+            self.measure(i, self.replacements(s, p, v), new != v) if self.stats else None
             self.put(new)
         elif s.type == "block":
             self.block(i, s)
@@ -222,7 +222,7 @@ class _Run:
     def substitute(self, i: int, s: Step, p: Pattern, v: Column) -> None:
         text = s.replacement or ""
         if "${seq}" in text or "${count}" in text:
-            n = count(p, v) if s.is_global else F.least(count(p, v), F.lit(1))
+            n = self.replacements(s, p, v)
             self.df = ordered.prefix_sum(self.df, F.when(self.alive(), n).otherwise(0), "_last")
             start = F.col("_last") - n
             every = s.is_global
@@ -249,9 +249,13 @@ class _Run:
             return
         new = replaced(p, v, text, s.is_global, s.backtracking(self.settings))
         if self.stats:
-            self.measure(i, count(p, v), new != v)
+            self.measure(i, self.replacements(s, p, v), new != v)
         self.put(new)
 
+    def replacements(self, s: Step, p: Pattern, v: Column) -> Column:
+        """How many matches a step replaces in a line."""
+        return count(p, v) if s.is_global else F.least(count(p, v), F.lit(1))
+
     def block(self, i: int, s: Step) -> None:
         v = F.col("value")
         start = s.compiled(s.start_pattern or s.pattern, self.settings)

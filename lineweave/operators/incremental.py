@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timestamps import micros
+from ..plans import cut
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
 
@@ -137,7 +138,9 @@ class Ledger:
             items = items.orderBy("key").limit(most)
         self._append("leases", items.select("key", F.lit(token).cast("long").alias("token"), F.lit(worker).alias("worker"), F.lit(now + seconds).alias("expires_at")))
         mine = self._read("leases", self.LEASES).groupBy("key").agg(F.max("token").alias("token")).filter(F.col("token") == token).select("key")
-        return token, self._read("items", self.ITEMS).join(mine, "key", "left_semi").withColumn("out_path", F.concat(F.lit(f"{self.folder}/out/"), F.col("kind"), F.lit("/"), F.col("key")))
+        items = self._read("items", self.ITEMS).join(mine, "key", "left_semi").withColumn("out_path", F.concat(F.lit(f"{self.folder}/out/"), F.col("kind"), F.lit("/"), F.col("key")))
+        # Written down: a plan that reads the facts as they are now must not meet, in one query, one that reads them later.
+        return token, cut(items)
 
     def _claim_token(self) -> int:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path

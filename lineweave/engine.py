@@ -71,8 +71,11 @@ def _per_match(p: Pattern, f, every: bool):  # noqa: ANN001, ANN202
 def transformed(s: Step, p: Pattern, c: Column, settings: Settings) -> Column:
     kind = s.transform["type"]
     if p.source in tf.WHOLE and not p.fixed and kind in tf.COLUMNS:
-        got = tf.COLUMNS[kind](c)
-        return F.when(F.col("value").contains("\n"), _per_match(p, tf.action(s.transform, s.replacement), s.is_global)(c)).otherwise(got) if kind not in ("deduplicate",) else got
+        f = tf.COLUMNS[kind]
+        one = (lambda x: F.when(x != "", f(x)).otherwise(x)) if "+" in p.source else f
+        # A rewritten line may hold line feeds, which the pattern doesn't cross (and an anchored one then doesn't match).
+        many = c if p.source.startswith("^") else F.array_join(F.transform(F.split(c, "\n"), one), "\n")
+        return F.when(F.contains(c, F.lit("\n")), many).otherwise(one(c))
     return _per_match(p, tf.action(s.transform, s.replacement, settings.allow_shell, settings.shell_timeout_secs), s.is_global)(c)
 
 

@@ -255,3 +255,39 @@ class HeaderParser:
             elif not name and level and (min(i, LAST_POSITION), w) in self.frequent and re.fullmatch(_C, bare):
                 name = bare
         return got[0], level, name, got[3], got[4], got[5]
+
+
+def message_of(lines: list[str]) -> str:
+    """The message of an entry's lines: what follows the header, or the message field of a structured record, and the lines after it."""
+    if not lines:
+        return ""
+    lines = [clean(x) for x in lines]
+    t, rest = lines[0], lines[1:]
+    if t == "{":
+        end = lines.index("}") if "}" in lines else len(lines) - 1
+        pairs = [(k, v) for k, v in _MEMBERS.findall("\n".join(lines[: end + 1]))]
+        head, rest = _message([(k, v[1:-1] if v[0] == '"' else v) for k, v in pairs]), lines[end + 1 :]
+    elif t.startswith("{"):
+        try:
+            got = json.loads(t)
+            head = _message(list(got.items())) if isinstance(got, dict) else t
+        except ValueError:
+            head = _message([(k, v.strip('"')) for k, v in _MEMBERS.findall(t)])
+    elif _LOGFMT.match(t):
+        head = _message([(k, v[1:-1].replace('\\"', '"') if v[:1] == '"' and len(v) > 1 else v) for k, v in _PAIRS.findall(t)])
+    else:
+        head = t[HeaderParser(set()).parse(t)[5] :].strip()
+        at = head.rfind(" @ ")
+        if at >= 0 and (ts := match_timestamp(head, at + 3)) and ts[0] == len(head):
+            head = head[:at]
+        if t[:1] == "[" and head.endswith(" []"):
+            head = head[:-3]
+    return "\n".join([head, *rest])
+
+
+def _message(pairs: list[tuple[str, object]]) -> str:
+    for k in MESSAGE_KEYS:
+        for name, v in pairs:
+            if name.lower() == k:
+                return str(v)
+    return ""

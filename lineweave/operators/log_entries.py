@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.headers import BRACE, EXTENT, LAST_POSITION, MEMBER, NONE, START, HeaderParser, clean, words_of
+from ..functions.headers import BRACE, EXTENT, LAST_POSITION, MEMBER, NONE, START, HeaderParser, clean, message_of, words_of
 from ..functions.timestamps import with_local, with_utc
 from ..plans import cut
 
@@ -202,4 +202,39 @@ def find_instants(line_matches: DataFrame, source_files: DataFrame) -> DataFrame
     return entry_instants(headers, files).filter("own").select("line_id", "ts_us")
 
 
-__all__ = ["BRACE", "MEMBER", "NONE", "START", "entry_extents", "entry_instants", "find_entries", "find_instants", "headers_of", "lines_of", "mine_frequent", "parse_lines", "with_owner"]
+#: Lines of an entry that one row's message holds; a longer entry goes on in further rows.
+PART = 1000
+
+
+def full_entries(line_matches: DataFrame, source_files: DataFrame) -> DataFrame:
+    """(path, first_line, last_line, level, component, ts_us, part, message): the entries with their instants and whole messages.
+
+    The lines of an entry come together by (path, entry, part), parts of ``PART`` lines, so an entry of any length is never
+    one task's group.
+    """
+    headers, files = headers_of(line_matches, source_files)
+    entries = cut(entry_extents(headers))
+    owner = with_owner(headers).select("path", "line_number", "owner")
+    instants = entry_instants(headers, files).groupBy("path", "line_number").agg(F.max("ts_us").alias("ts_us")).join(owner.dropDuplicates(["path", "line_number"]), ["path", "line_number"])
+    instants = instants.groupBy("path", F.col("owner").alias("first_line")).agg(F.max("ts_us").alias("ts_us"))
+    lines = lines_of(line_matches).join(files.select("path"), "path", "left_semi")
+    lines = _chunked(lines.groupBy("path", "line_number").agg(F.max("text").alias("text"))).repartition("path", "chunk")
+    starts = _chunked(entries.select("path", F.col("first_line").alias("line_number")))
+    lines = lines.join(starts.select("path", "chunk", "line_number", F.col("line_number").alias("start")), ["path", "chunk", "line_number"], "left")
+    carry = _carried(starts.withColumn("start", F.col("line_number")).unionByName(lines.select("path", "line_number", "chunk", F.lit(None).cast("long").alias("start"))), "start", "line_number")
+    w = Window.partitionBy("path", "chunk").orderBy("line_number")
+    lines = lines.withColumn("first_line", F.last("start", True).over(w)).join(carry, ["path", "chunk"], "left")
+    lines = lines.withColumn("first_line", F.coalesce("first_line", "carried")).filter("first_line is not null")
+    parts = lines.groupBy("path", "first_line", F.floor((F.col("line_number") - F.col("first_line")) / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_number", "text"))).alias("l"))
+
+    @F.pandas_udf("string")
+    def message(texts, part):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([message_of(list(t)) if p == 0 else "\n".join(map(clean, t)) for t, p in zip(texts, part)], dtype=object)
+
+    parts = parts.select("path", "first_line", "part", message(F.transform("l", lambda x: x["text"]), "part").alias("message"))
+    return entries.join(parts, ["path", "first_line"]).join(instants, ["path", "first_line"], "left").select("path", "first_line", "last_line", "level", "component", "ts_us", "part", "message")
+
+
+__all__ = ["BRACE", "MEMBER", "NONE", "START", "entry_extents", "entry_instants", "find_entries", "find_instants", "full_entries", "headers_of", "lines_of", "mine_frequent", "parse_lines", "with_owner"]

@@ -207,3 +207,4 @@ SQL["windowed_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, even
 QUERIES["commit_messages"] = lambda s, d: discovery.commits(t(s, d, "documents").select("doc_id", "text"), "text").filter("type is not null").select("doc_id", "type", "scope", "breaking", "description")
 # --- log entries beside what the drivers compare -----------------------------------------------------------------------
 QUERIES["p1_levels"] = lambda s, d: log_entries.find_entries(t(s, d, "line_matches"), t(s, d, "source_files")).groupBy("component", "level").agg(F.count("*").alias("entries"))
+QUERIES["p1_entries"] = lambda s, d: log_entries.full_entries(t(s, d, "line_matches"), t(s, d, "source_files"))

@@ -87,3 +87,26 @@ def test_empty_tables(spark):
     lines, files = tables(spark, [], [])
     assert find_entries(lines, files).count() == 0
     assert find_instants(lines, files).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [50_000, 4])
+def test_full_entries(spark, monkeypatch, chunk):
+    monkeypatch.setattr(log_entries, "CHUNK", chunk)
+    lines, files = case(spark)
+    got = {r.first_line: (r.ts_us, r.message) for r in log_entries.full_entries(lines, files).collect()}
+    assert got[2] == (1729987200_000_000 + 600_000_000, "one\n  continued")
+    assert got[4][1] == "two" and got[14][1] == "end\ntail" and set(got) == {2, 4, 5, 13, 14}
+    assert got[5][1] == '\npayload {\n  "level": "info"\n}'
+
+
+@pytest.mark.parametrize(
+    ("lines", "message"),
+    [
+        (["DEBUG router: lost \"x\" @ 2023-11-04T23:52:26-06:00"], 'lost "x"'), (["[1672531206] a.INFO: text []"], "text"), (['{"msg": "m \\"q\\"", "ts": 1672531206}'], 'm "q"'),
+        (["{", '  "level": "info",', '  "msg": "inner"', "}", "more"], "inner\nmore"), (['level=INFO msg="a \\"b\\"" component=x time=1672531443695'], 'a "b"'), ([], ""),
+    ],
+)
+def test_messages(lines, message):
+    from lineweave.functions.headers import message_of
+
+    assert message_of(lines) == message

@@ -48,7 +48,7 @@ _SPLIT = re.compile(r"[_.\-\s]+|(?<=[a-z0-9])(?=[A-Z])")
 
 # What stands in place of a secret.
 _FILLER = re.compile(
-    r"(?ix)^(?: [*x.\-_•\#?0]+ | <[^<>]*> | \[[^\]]*\] | \{\{.*\}\} | \$\{?[\w.:\-]+\}?.* | \$\(.*\) | %\(?\w+\)?[s%]? | @\w+@ | `.*` "
+    r"(?ix)^(?: [*x.\-_•\#?0]+ | <[^<>]*> | \[[^\]]*\] | \{\{.*\}\} | \$\{?[\w.:\-]+\}?.* | \$\(.*\) | %\(\w+\)[sd] | %\w{1,30}% | %[sdv] | @\w+@ | `.*` "
     r"| (?:replace|change|fill|insert|put|enter|set|add|your|my|todo|fixme|tbd|dummy|example|sample|fake|placeholder|redacted|masked|hidden|removed|censored|test|testing|none|null|nil|undefined|unset|not[-_ ]?set|n/?a|empty|default|changeme|secret|password|token|string|str|required|optional|true|false|yes|no|on|off)(?:[-_ ./]?(?:me|it|this|here|your|set|in|by|env|key|token|secret|password|value|with|the|a|real|at|runtime|deploy|before|use|later|ci|vault))* [!.]* "
     r"| (?:vault|env|ssm|aws[-\w]*|gcp[-\w]*|azure[-\w]*|kms|sops|op|file|secret|secrets|keyring|credstash|doppler|sm|ref|k8s|config|ENC|enc|cipher|keychain|pass|bitwarden|1password|arn|projects)[:(/].* "
     r"| (?:os\.|process\.|System\.|ENV|env\.|getenv|secrets?\.|config\.|settings\.|self\.|args\.|var\.|local\.|data\.|module\.|std::env|Deno\.env|import\.meta|request\.|params\.|ctx\.|this\.|Rails\.|viper\.|conf\.|cfg\.|options\.|props\.|input\.|flags?\.)[\w.\[\]('\"]*.* )$"
@@ -72,10 +72,13 @@ _BEFORE = re.compile(r"([A-Za-z_$][\w.\-]*)\s*(?:['\"`]\s*\]?|\]|\))?\s*(?::\s*&
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*?)(PRIVATE KEY(?: BLOCK)?|PUBLIC KEY(?: BLOCK)?|CERTIFICATE(?: REQUEST)?|[A-Z0-9 ]+?)-----")
 _PEM_BODY = re.compile(r"^\s*(?:[\"'`]?[A-Za-z0-9+/]{4,}={0,3}(?:\\n)?[\"'`]?\s*[,+\\]*\s*|(?:Proc-Type|DEK-Info|Comment|Version|Headers?|Key-\w+):.*)?$")
 _LONE = re.compile(r"^\s*(?:[+.&|]\s*)?(?:f|r|b)?([\"'`])((?:[^\"'`\\]|\\.)*)\1\s*(?:\+|\\|\.|&|,|\+\s*\\|\)|;|\);|\.\.)?\s*$")
+#: A name and its value as fields of one entry, each on a line of its own.
+_NAME_FIELD = re.compile(r"^\s*(?:-\s+)?[\"']?(?:name|key|id|variable|env)[\"']?\s*[:=]\s*[\"']?([A-Za-z_][\w.\-]*)[\"']?\s*,?\s*$", re.I)
+_VALUE_FIELD = re.compile(r"^\s*[\"']?(?:value|val|default|content)[\"']?\s*[:=]\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'#]+))\s*,?\s*(?:#.*)?$", re.I)
 _GOES_ON = re.compile(r"(?:\+\s*\\?|\\|\.\.?|&)\s*$")
 _WORTH = re.compile(r"(?i)pass|pwd|\bpw|secret|token|key|auth|cred|bearer|basic|\bpat\b|\bpin\b|psk|salt|login|://[^\s]*@|-----|eyJ|[A-Za-z0-9+/_=.\-]{16,}")
 
-MARK_PRIVATE, MARK_OTHER, MARK_END, BODY, LONE, FOUND = range(1, 7)
+MARK_PRIVATE, MARK_OTHER, MARK_END, BODY, LONE, FOUND, NAMED, VALUED = range(1, 9)
 
 
 def is_secret_name(name: str) -> bool:
@@ -92,7 +95,7 @@ def is_secret_name(name: str) -> bool:
 def literal(value: str) -> bool:
     """Whether a value can be a secret itself: not blank, a filler, a reference, a number, an id or a digest's form."""
     v = value.strip()
-    return len(v) >= 4 and not _FILLER.match(v) and not _ID.match(v) and not v.startswith(("http://", "https://", "/", "./", "../", "~/")) and " " not in v
+    return len(v) >= 4 and not _FILLER.match(v) and not _ID.match(v) and not v.startswith(("http://", "https://", "./", "../", "~/")) and not re.match(r"/[a-z][a-z0-9_.-]*(?:/|$)", v) and " " not in v
 
 
 def _strong(value: str, named: bool, folder: str) -> bool:
@@ -188,13 +191,18 @@ def line_kind(text: str, folder: str = FOLDER) -> tuple[int, bool]:
             return (MARK_END if private else MARK_OTHER), False
     if find_in_line(t, folder):
         return FOUND, bool(_GOES_ON.search(t))
+    if (m := _NAME_FIELD.match(t)) and is_secret_name(m[1]):
+        return NAMED, False
+    if (m := _VALUE_FIELD.match(t)) and _strong(m[1] or m[2] or m[3] or "", True, folder):
+        return VALUED, False
     if _LONE.match(t):
         return LONE, bool(_GOES_ON.search(t))
     return (BODY, False) if _PEM_BODY.match(t) else (0, False)
 
 
 def _with_extent(df: DataFrame) -> DataFrame:
-    """``secret``: the line is found by itself, belongs to a private key block, or carries on a found string.
+    """``secret``: the line is found by itself, belongs to a private key block, carries on a found string, or is the value
+    of an entry that the line above gives a secret's name.
 
     Two lines are in unbroken sequence if their numbers differ by as much as their ranks among the lines passed on; ranks
     are those within the chunk plus the number of lines in the chunks before.
@@ -218,8 +226,9 @@ def _with_extent(df: DataFrame) -> DataFrame:
     m, h = F.coalesce("_mark", "_m"), F.coalesce("_head", "_h")
     in_block = (F.col("kind").isin(BODY, LONE)) & (m["kind"] == MARK_PRIVATE) & (m["_key"] == F.col("_key"))
     carried_on = (F.col("kind") == LONE) & (h["kind"] == FOUND) & h["goes_on"] & (h["_key"] == F.col("_key"))
+    valued = (F.col("kind") == VALUED) & (h["kind"] == NAMED) & (F.col("line_number") - h["line_number"] == 1)
     alone = F.col("kind").isin(FOUND, MARK_PRIVATE, MARK_END)
-    return rows.select("path", "line_number", "line_id", "kind", "own", F.coalesce(alone | in_block | carried_on, F.lit(False)).alias("secret"))
+    return rows.select("path", "line_number", "line_id", "kind", "own", F.coalesce(alone | in_block | carried_on | valued, F.lit(False)).alias("secret"))
 
 
 def repo_lines(line_matches: DataFrame, file_results: DataFrame, under: str) -> DataFrame:
@@ -262,6 +271,10 @@ def redact_line(text: str, kind: int, folder: str = FOLDER) -> str:
         return text
     if kind == BODY:
         return re.sub(r"[A-Za-z0-9+/]", "x", text.replace("\\n", "\x00")).replace("\x00", "\\n")
+    if kind == VALUED:
+        m = _VALUE_FIELD.match(text.rstrip("\r\n"))
+        a, b = m.span(m.lastindex) if m else (0, 0)
+        return text[:a] + re.sub(r"[A-Za-z0-9]", "x", text[a:b]) + text[b:]
     if kind == LONE:
         return re.sub(r"(?<=[\"'`]).*(?=[\"'`])", lambda m: re.sub(r"[A-Za-z0-9]", "x", m[0]), text)
     out = list(text)

@@ -128,6 +128,14 @@ def test_blocks_and_continuations(spark, monkeypatch, chunk):
     assert secrets.find_secrets(lines.limit(0), results).count() == 0
 
 
+def test_named_on_the_line_above(spark):
+    text = ["- name: DB_PASSWORD", '  value: "d78e4939-5a40-40fa-b126-e634f4ecfcbd"', "- name: TRACE_ID", '  value: "d78e4939-5a40-40fa-b126-e634f4ecfcbd"', "- name: API_TOKEN", '  value: "${TOKEN}"', "- name: API_TOKEN", "  other: 1", '  value: "06efce5d227"']
+    lines = spark.createDataFrame([(n, "/repo/a.yaml", n, t, None, 0) for n, t in enumerate(text, 1)], LINES)
+    results = spark.createDataFrame([("/repo/a.yaml",)], "path string")
+    assert [r[0] for r in rows(secrets.find_secrets(lines, results), "line_id")] == [2]
+    assert rows(secrets.redact_lines(lines, results), "line_id")[1][3] == '  value: "xxxxxxxx-xxxx-xxxx-xxxx-xxxxxxxxxxxx"'
+
+
 def test_subwords():
     assert characters_per_subword("configuration settings") > 4 > 2.2 > characters_per_subword("xQ7vT2mK9pLr4ZsW8bNd")
     assert characters_per_subword("") == 0

@@ -1,7 +1,7 @@
 """Rules over several files: where a trigger matches, related files must hold a pattern.
 
 Rules are configuration (checked against ``MOST_RULES``) and are unrolled into the plan; files are never paired with each
-other but through a rule and a path, by equi-join.
+other.
 """
 
 from __future__ import annotations
@@ -57,34 +57,64 @@ def related_path(template: str, source: str) -> str:
     return template.format(dir=posixpath.dirname(source), stem=stem, ext=ext.lstrip("."), name=name)
 
 
+def _states(lines: DataFrame, ensured: list[Rule]) -> DataFrame:
+    """(source, rule, has): of each related file of each rule, whether it holds the rule's pattern anywhere."""
+    state = [F.when(_glob(F.col("source"), r.related_files), F.struct(F.lit(r.name).alias("rule"), F.col("value").rlike(Pattern(r.ensure_pattern).java).alias("has"))) for r in ensured]
+    return lines.select("source", F.explode(F.array_compact(F.array(*state))).alias("s")).groupBy("source", F.col("s.rule").alias("rule")).agg(F.max("s.has").alias("has"))
+
+
+def _targets(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, source, related_source): where rules name a related path, that of each triggering file."""
+    out = found.select("rule", "source", F.lit("").alias("related_source")).filter("false")
+    for r in rules:
+        path = F.udf(lambda s, t=r.related_path_template: related_path(t, s), "string")
+        out = out.unionByName(found.filter(F.col("rule") == r.name).select("rule", "source").distinct().withColumn("related_source", path("source")))
+    return out
+
+
 def check(lines: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule, trigger_source, line_no, matched, related_source): related files without the pattern, for each trigger.
+    """(rule, related_source, triggers, first_source, first_line): each related file that lacks its rule's pattern.
 
-    Whether a file holds a rule's pattern is decided once per file and rule; a trigger whose rule has no related file passes.
-    Triggers meet the violating files of their rule by an equi-join on the rule (and the path, where a template names one);
-    as many rows come out as there are violations.
+    A file is a row once for a rule, with how many triggers in other files ask for the pattern and the first of them;
+    ``triggers`` has them all. So the result is as large as its files, not as the pairs of triggers and files. A file
+    without triggers of its rule passes, and so does a trigger whose rule has no related file.
     """
     found = triggers(lines, rules)
     ensured = [r for r in rules if r.enabled and r.ensure_pattern]
     if not ensured:
-        return found.select("rule", F.col("source").alias("trigger_source"), "line_no", "matched", F.lit("").alias("related_source")).filter("false")
-    state = [F.when(_glob(F.col("source"), r.related_files), F.struct(F.lit(r.name).alias("rule"), F.col("value").rlike(Pattern(r.ensure_pattern).java).alias("has"))) for r in ensured]
-    files = lines.select("source", F.explode(F.array_compact(F.array(*state))).alias("s")).groupBy("source", F.col("s.rule").alias("rule")).agg(F.max("s.has").alias("has"))
-    lacking = files.filter("not has").select(F.col("source").alias("related_source"), "rule")
-    by_path = {r.name: r.related_path_template for r in ensured if r.related_path_template}
-    plain = found.filter(F.col("rule").isin([r.name for r in ensured if r.name not in by_path])) if len(by_path) < len(ensured) else found.filter("false")
-    out = plain.join(lacking, "rule").filter(F.col("related_source") != F.col("source"))
-    for name, t in by_path.items():
-        path = F.udf(lambda s, t=t: related_path(t, s), "string")
-        at = found.filter(F.col("rule") == name).select("source").distinct().withColumn("related_source", path("source"))
-        out = out.unionByName(found.filter(F.col("rule") == name).join(at, "source").join(lacking, ["rule", "related_source"]).select(*out.columns))
-    return out.select("rule", F.col("source").alias("trigger_source"), "line_no", "matched", "related_source")
-
-
-def fixes(violations: DataFrame) -> DataFrame:
-    """(related_source, appended): the matched texts to append to each violating file, in the order of their triggers."""
-    g = violations.groupBy("related_source", "matched").agg(F.min(F.struct("trigger_source", "line_no")).alias("k"))
-    return g.groupBy("related_source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "matched"))), lambda x: x["matched"]), "\n").alias("appended"))
+        return found.select("rule", F.col("source").alias("related_source"), F.lit(0).cast("long").alias("triggers"), F.lit("").alias("first_source"), "line_no").withColumnRenamed("line_no", "first_line").filter("false")
+    lacking = _states(lines, ensured).filter("not has").select(F.col("source").alias("related_source"), "rule")
+    templated = [r for r in ensured if r.related_path_template]
+    plain = found.filter(~F.col("rule").isin([r.name for r in templated])) if templated else found
+    k = F.struct("source", "line_no")
+    own = plain.groupBy("rule", "source").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    # Of each rule its triggers, and the first one of each of the first two files: one of them isn't the file itself.
+    total = own.groupBy("rule").agg(F.sum("n").alias("all"), F.min(k).alias("k1"))
+    second = own.join(total, "rule").filter(F.col("source") != F.col("k1.source")).groupBy("rule").agg(F.min(k).alias("k2"))
+    j = lacking.join(total.join(second, "rule", "left"), "rule").join(own.select("rule", F.col("source").alias("related_source"), F.col("n").alias("mine")), ["rule", "related_source"], "left")
+    first = F.when(F.col("k1.source") != F.col("related_source"), F.col("k1")).otherwise(F.col("k2"))
+    out = j.select("rule", "related_source", (F.col("all") - F.coalesce("mine", F.lit(0))).alias("triggers"), first.alias("f")).filter("triggers > 0")
+    if templated:
+        at = found.join(_targets(found, templated), ["rule", "source"]).join(lacking, ["rule", "related_source"])
+        out = out.unionByName(at.groupBy("rule", "related_source").agg(F.count("*").alias("triggers"), F.min(k).alias("f")))
+    return out.select("rule", "related_source", "triggers", F.col("f.source").alias("first_source"), F.col("f.line_no").alias("first_line"))
+
+
+def fixes(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(related_source, appended): what to append to each violating file: the matched texts of its rule, each once, in order.
+
+    The texts of a rule are put together once, not for each file.
+    """
+    found = triggers(lines, rules)
+    templated = {r.name for r in rules if r.related_path_template}
+    texts = lambda df, *by: df.groupBy(*by, "matched").agg(F.min(F.struct("source", "line_no")).alias("k")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "matched"))).alias("t"))
+    bad = check(lines, rules).select("rule", "related_source")
+    per = bad.join(texts(found.filter(~F.col("rule").isin(list(templated))) if templated else found, "rule"), "rule")
+    if templated:
+        at = found.join(_targets(found, [r for r in rules if r.name in templated]), ["rule", "source"])
+        per = per.unionByName(bad.join(texts(at, "rule", "related_source"), ["rule", "related_source"]).select(*per.columns))
+    merged = per.groupBy("related_source").agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("t"))  # a list for each rule
+    return merged.select("related_source", F.array_join(F.array_distinct(F.transform("t", lambda x: x["matched"])), "\n").alias("appended"))
 
 
 def groups(found: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -93,8 +123,8 @@ def groups(found: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
     fired = found.filter(F.col("rule").isin([r.name for r in atomic])).select("rule", "source").distinct()
     rel = None
     for r in atomic:
-        x = lines.select("source").distinct().filter(_glob(F.col("source"), r.related_files)).join(fired.filter(F.col("rule") == r.name).select("rule").distinct(), how="inner", on=F.lit(True))
-        rel = x.select("rule", "source") if rel is None else rel.unionByName(x.select("rule", "source"))
+        x = lines.select("source").distinct().filter(_glob(F.col("source"), r.related_files)).select(F.lit(r.name).alias("rule"), "source").join(fired.select("rule").distinct(), "rule", "left_semi")
+        rel = x if rel is None else rel.unionByName(x)
     every = fired if rel is None else fired.unionByName(rel)
     order = F.array_position(F.array(*[F.lit(r.name) for r in atomic]) if atomic else F.array(F.lit("")), F.col("rule"))
     return every.withColumn("o", order).groupBy("source").agg(F.min_by("rule", "o").alias("rule")).select("rule", "source")

@@ -133,7 +133,7 @@ def with_owner(headers: DataFrame) -> DataFrame:
 
 
 def entry_extents(headers: DataFrame) -> DataFrame:
-    """(path, first_line, last_line, level, component), one row per entry."""
+    """(path, first_line, last_line, level, component), one row per entry; it ends at the number before the next entry's first."""
     rows = with_owner(headers)
     plain = rows.filter(F.col("what") == START).select("path", F.col("owner").alias("first_line"), "level", "component")
     spread = rows.filter(F.col("what") != START).groupBy("path", F.col("owner").alias("first_line")).agg(F.max("level").alias("level"), F.max("component").alias("component"), F.max(F.col("level").isNotNull() | (F.col("kind") > 0)).alias("is_entry")).filter("is_entry").drop("is_entry")

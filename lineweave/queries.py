@@ -161,7 +161,7 @@ SQL["why_dropped"] = _LINES + " SELECT source, line_no, value AS orig, CASE WHEN
 QUERIES["inspect_matches"] = lambda s, d: engine.inspect(_pipeline(_sub(r"release (\d+)", "r$1")), lines(s, d))
 QUERIES["discovery_report"] = lambda s, d: discovery.report(lines(s, d)).select("name", "matches", "lines")
 SQL["discovery_report"] = _LINES + " SELECT name, sum(n)::BIGINT AS matches, count(*) FILTER (n > 0) AS lines FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, len(regexp_extract_all(value, '{BUILTIN[n]}')) AS n FROM lines" for n in discovery.DETECTORS) + ") GROUP BY name HAVING sum(n) > 0"
-_RULES = [crossfile.Rule("limits", r"limit to \d+", "*", "*1", r"offset"), crossfile.Rule("hosts", r"db-\d\d", "*", "*22", "segment")]
+_RULES = [crossfile.Rule("limits", r"limit to \d+", "*", "*", "offset"), crossfile.Rule("hosts", r"db-\d\d", "*", "*", "segment")]
 
 
 def _named(s: SparkSession, d: str) -> DataFrame:
@@ -170,11 +170,11 @@ def _named(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES["cross_file_triggers"] = lambda s, d: crossfile.triggers(_named(s, d), _RULES)
 SQL["cross_file_triggers"] = _LINES + r" SELECT 'limits' AS rule, source::VARCHAR AS source, line_no, regexp_extract(value, 'limit to [0-9]+') AS matched FROM lines WHERE regexp_matches(value, 'limit to [0-9]+') UNION ALL SELECT 'hosts', source::VARCHAR, line_no, regexp_extract(value, 'db-[0-9][0-9]') FROM lines WHERE regexp_matches(value, 'db-[0-9][0-9]')"
-# Violations counted by rule and related file; as rows they are as many as triggers times lacking files.
-QUERIES["cross_file_lacking"] = lambda s, d: crossfile.check(_named(s, d).filter(F.col("source").rlike("(1|22)$")), _RULES[1:]).groupBy("rule", "related_source").agg(F.count("*").alias("triggers"))
-SQL["cross_file_lacking"] = _LINES + r""", n AS (SELECT source::VARCHAR AS source, value FROM lines WHERE regexp_matches(source::VARCHAR, '(1|22)$')),
-f AS (SELECT source FROM n WHERE source LIKE '%22' GROUP BY source HAVING NOT bool_or(contains(value, 'segment'))), tr AS (SELECT source, count(*) AS c FROM n WHERE regexp_matches(value, 'db-[0-9][0-9]') GROUP BY source)
-SELECT 'hosts' AS rule, f.source AS related_source, ((SELECT sum(c) FROM tr) - coalesce((SELECT c FROM tr WHERE tr.source = f.source), 0))::BIGINT AS triggers FROM f"""
+QUERIES["cross_file_check"] = lambda s, d: crossfile.check(_named(s, d), _RULES).select("rule", "related_source", "triggers")
+SQL["cross_file_check"] = _LINES + r""", tr AS (SELECT 'limits' AS rule, source FROM lines WHERE regexp_matches(value, 'limit to [0-9]+') UNION ALL SELECT 'hosts', source FROM lines WHERE regexp_matches(value, 'db-[0-9][0-9]')),
+f AS (SELECT 'limits' AS rule, source FROM lines GROUP BY source HAVING NOT bool_or(contains(value, 'offset')) UNION ALL SELECT 'hosts', source FROM lines GROUP BY source HAVING NOT bool_or(contains(value, 'segment'))),
+n AS (SELECT rule, count(*) AS c FROM tr GROUP BY rule), own AS (SELECT rule, source, count(*) AS c FROM tr GROUP BY ALL)
+SELECT f.rule, f.source::VARCHAR AS related_source, (n.c - coalesce(own.c, 0))::BIGINT AS triggers FROM f JOIN n USING (rule) LEFT JOIN own ON own.rule = f.rule AND own.source = f.source WHERE n.c > coalesce(own.c, 0)"""
 QUERIES["mapping_current"] = lambda s, d: mapping.current(t(s, d, "mapping_entries"), "original").select("original", "transformed")
 SQL["mapping_current"] = "SELECT original, arg_max(transformed, (created_at, step_index, transformed)) AS transformed FROM mapping_entries GROUP BY original"
 QUERIES["mapping_reverse"] = lambda s, d: mapping.apply(t(s, d, "mapping_entries").select(F.col("transformed").alias("value")).distinct(), t(s, d, "mapping_entries"), reverse=True)

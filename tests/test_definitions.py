@@ -106,9 +106,14 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_cross_file(spark):
     df = spark.createDataFrame([("src/a.py", 1, "def foo():"), ("doc/a.md", 1, "nothing"), ("doc/b.md", 1, "about foo"), ("src/a.py", 2, "def bar():")], "source string, line_no long, value string")
     rules = [crossfile.Rule("docs", r"def (\w+)", "src/*", "doc/*", "foo"), crossfile.Rule("own", r"def bar", "src/*", "doc/*", "foo", related_path_template="doc/{stem}.md"), crossfile.Rule("off", "x", enabled=False)]
-    v = crossfile.check(df, rules)
-    assert rows(v, "rule", "line_no") == [("docs", "src/a.py", 1, "def foo", "doc/a.md"), ("docs", "src/a.py", 2, "def bar", "doc/a.md"), ("own", "src/a.py", 2, "def bar", "doc/a.md")]
-    assert [tuple(r) for r in crossfile.fixes(v).collect()] == [("doc/a.md", "def foo\ndef bar")]
+    assert rows(crossfile.check(df, rules), "rule") == [("docs", "doc/a.md", 2, "src/a.py", 1), ("own", "doc/a.md", 1, "src/a.py", 2)]
+    assert [tuple(r) for r in crossfile.fixes(df, rules).collect()] == [("doc/a.md", "def foo\ndef bar")]
+    assert crossfile.check(df.limit(0), rules).count() == 0
+    atomic = [crossfile.Rule("docs", r"def (\w+)", "src/*", "doc/*", "foo", atomic=True)]
+    assert sorted(r.source for r in crossfile.groups(crossfile.triggers(df, atomic), df, atomic).collect()) == ["doc/a.md", "doc/b.md", "src/a.py"]
+    # A file that triggers its own rule doesn't count against itself.
+    own = spark.createDataFrame([("x", 1, "t"), ("y", 1, "t"), ("z", 1, "t e")], "source string, line_no long, value string")
+    assert rows(crossfile.check(own, [crossfile.Rule("r", "t", ensure_pattern="e")]), "related_source") == [("r", "x", 2, "y", 1), ("r", "y", 2, "x", 1)]
 
 
 def test_mapping(spark):

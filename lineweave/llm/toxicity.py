@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 
 from . import share_of
 
-TRAIN_DOCS = 1600
+TRAIN_DOCS = 4000
 #: Of the sentences of unmarked texts, so many by a hash, and so many that look worst so far, are fitted on.
 TRAIN_PLAIN, TRAIN_HARD = 3000, 2000
 #: The share of unmarked texts' sentences that look less abusive than any that counts as abusive (the rest: wrong marks).
 PLAIN_SHARE = 0.996
 BITS = 18
-GRAMS = (2, 3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 ROUNDS = 2
 FOLDS = 2
 #: Of thresholds about as good on unseen texts the lowest is taken: wrong marks weigh on precision more than on recall.
@@ -82,6 +82,11 @@ def normals(text: str) -> list[str]:
 
 def featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all n-grams, sentence after sentence; their number per sentence)."""
+    parts = [_featurize(sentences[a : a + 4000]) for a in range(0, len(sentences), 4000)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\x00".join(sentences) + "\x00"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     sizes = np.fromiter((len(s) for s in sentences), np.int64, len(sentences))
@@ -101,8 +106,7 @@ def featurize(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 hashes.append(((h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))[ok])
                 owners.append(owner[:m][ok])
     h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(o, kind="stable")
-    return h[order], np.bincount(o, minlength=len(sentences))
+    return h[np.argsort(o, kind="stable")], np.bincount(o, minlength=len(sentences))
 
 
 def weigh(prepared: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +157,21 @@ class Model:
 
 
 def _ratios(h: np.ndarray, doc: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """The log-count ratio of each n-gram: how much more often it stands in marked texts, drawn to 0 where it is rare."""
+    """The log-count ratio of each n-gram: how much more often it stands in marked texts, drawn to 0 where it is rare.
+
+    ``doc``: the text of each n-gram, ascending; texts are counted some at a time.
+    """
     size = 1 << BITS
-    pair = np.unique(doc.astype(np.int64) * size + h)
-    gram, of = pair & (size - 1), pair >> BITS
+    m, u = np.zeros(size), np.zeros(size)
+    cuts = np.searchsorted(doc, np.arange(0, len(marked) + 200, 200))
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            pair = np.unique(doc[a:b].astype(np.int64) * size + h[a:b])
+            gram, of = pair & (size - 1), pair >> BITS
+            m += np.bincount(gram, marked[of], size)
+            u += np.bincount(gram, ~marked[of], size)
     p = float(marked.mean())
-    m = np.bincount(gram, marked[of], size)
-    u = np.bincount(gram, ~marked[of], size)
-    return np.log((m + PRIOR * p) / (u + PRIOR * (1 - p))) - np.log(p / (1 - p))
+    return (np.log((m + PRIOR * p) / (u + PRIOR * (1 - p))) - np.log(p / (1 - p))).astype(np.float32)
 
 
 def _fit_sentences(h: np.ndarray, n: np.ndarray, y: np.ndarray, use: np.ndarray, ratio: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -201,7 +212,6 @@ def fit(texts: list[str], marks: list[int]) -> Model:
     h, n = featurize(flat)
     starts = np.cumsum(n) - n
     root = np.sqrt(np.maximum(n, 1))
-    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
     draw = np.array([zlib.crc32(s.encode()) for s in flat])
     fold = np.arange(len(y_doc)) % FOLDS
 
@@ -209,7 +219,9 @@ def fit(texts: list[str], marks: list[int]) -> Model:
         """From the texts in ``inside`` only."""
         mine = inside[doc]
         ids = np.cumsum(inside) - 1
-        ratio = _ratios(h[np.repeat(mine, n)], ids[doc[owner[np.repeat(mine, n)]]], y_doc[inside])
+        each = np.repeat(mine, n)
+        ratio = _ratios(h[each], np.repeat(ids[doc[mine]].astype(np.int32), n[mine]), y_doc[inside])
+        del each
         s = np.add.reduceat(ratio[h], starts) / root
         plain = np.flatnonzero(mine & ~marked)
         some = plain[np.argsort(draw[plain], kind="stable")[:TRAIN_PLAIN]]

@@ -58,7 +58,9 @@ def prepare(texts: list[str]) -> str:
     Lower case, no accents, spelled-out and drawn-out words joined, signs for letters undone, digits as 0.
     """
     s = "\x01".join([t.replace("\x00", " ").replace("\x01", " ") for t in texts])
-    s = _END.sub("\x00", s).lower()
+    s = _END.sub("\x00", s).lower().replace("\t", " ")
+    while "  " in s:
+        s = s.replace("  ", " ")
     if not s.isascii():
         s = _ACCENTED.sub(lambda m: _ACCENTS[m[0]], unicodedata.normalize("NFKC", s))
     s = _SPACED.sub(lambda m: m[0].replace(m[1], ""), s)

@@ -318,6 +318,34 @@ class _Run:
         new = f(c) if mode == "slurp" else F.array_join(F.transform(F.split(c, "\n\n"), f), "\n\n")
         self.df = self.df.withColumn("value", new)
 
+    def scoped_step(self, i: int, s: Step) -> None:
+        """A step within syntax scopes of each source's text; sources in other languages (by their extension) stay as they are."""
+        from .operators import syntax
+        from .sources.lines import LANGUAGES
+
+        p = s.compiled(s.pattern, self.settings)
+        tokens = template(s.replacement or "", p, s.backtracking(self.settings))
+        change = tf.action(s.transform, s.replacement, self.settings.allow_shell, self.settings.shell_timeout_secs) if s.type == "transform" else None
+        for lang in s.languages or ("python",):
+            syntax.ranges("", lang, list(s.scope), list(s.exclude_scopes))  # names are checked before anything runs
+
+        def one(source: str, text: str) -> str:
+            lang = LANGUAGES.get(source.rsplit(".", 1)[-1].lower())
+            if lang is None or s.languages and lang not in s.languages:
+                return text
+            spans = syntax.ranges(text, lang, list(s.scope), list(s.exclude_scopes))
+            if s.type == "substitute":
+                return syntax.rewrite(text, p, spans, lambda m: expand(tokens, p.python.match(m[0]) or m))
+            if s.type == "transform":
+                return syntax.rewrite(text, p, spans, lambda m: change(m[0]))
+            if s.type == "filter":
+                rows = {text.count("\n", 0, m.start()) for m in syntax.in_scope(text, p, spans)}
+                return "\n".join(x for n, x in enumerate(text.split("\n")) if (n in rows) == str(s.action).startswith("keep"))
+            return text
+
+        udf = F.pandas_udf(lambda a, b: pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object), "string")
+        self.df = self.df.withColumn("value", udf(F.col("source").cast("string"), "value"))
+
     def slurped(self) -> None:
         """One row per source. A text must fit into a row, as in any engine that has it whole; ``max_slurp_size`` bounds it."""
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]), "\n")
@@ -335,14 +363,17 @@ class _Run:
     def run(self) -> Result:
         steps = self.p.active
         whole = False
-        if all((s.mode or self.settings.mode) == "line" for _, s in steps):
+        if all((s.mode or self.settings.mode) == "line" and not (s.scope or s.exclude_scopes) for _, s in steps):
             self.line_limits()
         for i, s in steps:
-            mode = s.mode or self.settings.mode
+            scoped = bool(s.scope or s.exclude_scopes)
+            mode = "scope" if scoped else s.mode or self.settings.mode
             if (mode != "line") != whole:
                 self.slurped() if mode != "line" else self.unslurped()
                 whole = mode != "line"
-            if whole:
+            if scoped:
+                self.scoped_step(i, s)
+            elif whole:
                 self.content_step(i, s, mode)
             else:
                 self.line_step(i, s)
@@ -413,6 +444,11 @@ def unused_steps(stats: DataFrame) -> DataFrame:
     return stats.filter("matches = 0 and transformations = 0").select("step_index")
 
 
+def verification(matches_: int, transformations: int) -> str:
+    """What a run amounts to."""
+    return "transformations_applied" if transformations else "matches_found_no_transformations" if matches_ else "no_matches"
+
+
 def source_stats(result: Result) -> DataFrame:
     """(source, lines_in, lines_out, changed)."""
     new = result.lines.select("source", "line_no", F.col("value").alias("_v"))
@@ -490,4 +526,4 @@ def render_summary(row: dict, spec: Finalize, matches_: int = 0, transformations
     return text
 
 
-__all__ = ["Result", "collected", "counters", "extracted", "hits", "inspect", "intermediates", "render_summary", "replaced", "run", "source_stats", "transformed", "unused_steps", "why_dropped"]
+__all__ = ["Result", "collected", "counters", "extracted", "hits", "inspect", "intermediates", "render_summary", "replaced", "run", "source_stats", "transformed", "unused_steps", "verification", "why_dropped"]

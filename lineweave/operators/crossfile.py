@@ -128,3 +128,11 @@ def groups(found: DataFrame, lines: DataFrame, rules: list[Rule]) -> DataFrame:
     every = fired if rel is None else fired.unionByName(rel)
     order = F.array_position(F.array(*[F.lit(r.name) for r in atomic]) if atomic else F.array(F.lit("")), F.col("rule"))
     return every.withColumn("o", order).groupBy("source").agg(F.min_by("rule", "o").alias("rule")).select("rule", "source")
+
+
+def outcome(violations: int, action: str) -> tuple[bool, str]:
+    """(whether to go on, what to say) for the actions ``warn``, ``fail``, ``skip`` and ``fix``."""
+    if not violations or action == "skip":
+        return True, ""
+    say = f"{violations} files lack what a rule asks for"
+    return action != "fail", say if action != "fix" else f"{say}; fixing"

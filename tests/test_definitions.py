@@ -171,3 +171,27 @@ def test_stream(spark, tmp_path):
     assert len(got) == 3
     with pytest.raises(spec.SpecError):
         streaming.line_by_line(spec.from_dict({"step": [{"type": "block", "pattern": "a"}]}), spark.createDataFrame([("a",)], "value string"))
+
+
+def test_scoped_steps_in_a_pipeline(spark):
+    from lineweave import engine
+
+    df = spark.createDataFrame([("a.py", 1, "foo = 'foo'  # foo"), ("a.py", 2, "foo"), ("b.txt", 1, "foo")], "source string, line_no long, value string")
+    p = spec.from_dict({"step": [{"type": "substitute", "pattern": "foo", "replacement": "x", "language": "python", "scope": ["strings", "comments"]}, {"type": "filter", "pattern": "x|foo", "action": "keep_line"}]})
+    assert [r[2] for r in rows(engine.run(p, df).lines, "source", "line_no")] == ["foo = 'x'  # x", "foo", "foo"]
+
+
+def test_exit_codes(spark, tmp_path, capsys):
+    from lineweave.__main__ import CONFIG, INVALID, IO, NO_MATCH, OK, USAGE, main
+
+    f = tmp_path / "a.txt"
+    f.write_text("one 1\ntwo\n")
+    assert main(["-p", r"\d", str(f)]) == OK and capsys.readouterr().out == "one 1\n"
+    assert main(["-p", "zzz", str(f)]) == NO_MATCH
+    assert main(["-p", r"\d", "-r", "N", "--line-numbers", str(f)]) == OK and capsys.readouterr().out == "1: one N\n2: two\n"
+    assert main([]) == USAGE and main(["-c", str(tmp_path / "none.toml")]) == IO and main(["-p", "a", str(tmp_path / "none")]) == IO
+    (tmp_path / "bad.toml").write_text("[[step]]\ntype = 'substitute'\npattern = 'a'\n")
+    assert main(["-c", str(tmp_path / "bad.toml"), str(f)]) == INVALID
+    (tmp_path / "broken.toml").write_text("[[")
+    assert main(["-c", str(tmp_path / "broken.toml")]) == CONFIG
+    assert crossfile.outcome(2, "fail") == (False, "2 files lack what a rule asks for") and crossfile.outcome(2, "skip")[0]

@@ -265,8 +265,8 @@ class _Run:
         content = s.compiled(s.pattern, self.settings) if s.start_pattern and s.pattern else None
         rest = self.df.filter(~self.alive()) if self.trace else None
         df = self.df.filter(self.alive()) if self.trace else self.df
-        df = ordered.blocks(df, hits(start, v), hits(s.compiled(s.end_pattern, self.settings), v) if s.end_pattern else F.lit(False))
         inside, action = F.col("in_block"), s.action
+        df = ordered.blocks(df, hits(start, v), hits(s.compiled(s.end_pattern, self.settings), v) if s.end_pattern else F.lit(False), ids=bool(content or action == "deduplicate" or s.block_context))
         name = action if isinstance(action, str) else next(iter(action)) if isinstance(action, dict) else None
         if name == "mark_block":
             df = df.withColumn("value", F.when(inside, F.concat(F.lit(action["mark_block"]["marker"]), v)).otherwise(v))

@@ -1,7 +1,8 @@
 """Operators on the order of lines within a source, split into chunks of line numbers.
 
 A source that holds a third of all rows would be one task under a window per source. Here every window is per (source, chunk),
-and what a chunk needs from those before it comes from a table of one row per chunk.
+and what a chunk needs from those before it comes from a table of one row per chunk. Lines whose source is null have no order and
+are dropped here.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def first_seen(df: DataFrame, key: Column) -> DataFrame:
     return df.join(first.withColumnRenamed("_k", "_k2").withColumnRenamed("source", "_s2"), (F.col("source") == F.col("_s2")) & F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("line_no") == F.col("_first")), "left_semi").drop("_k")
 
 
-def blocks(df: DataFrame, starts: Column, ends: Column) -> DataFrame:
-    """Adds ``in_block``, ``entering``, ``exiting`` and ``block_id``: a two-state automaton entered at starts and left at ends.
+def blocks(df: DataFrame, starts: Column, ends: Column, ids: bool = True) -> DataFrame:
+    """Adds ``in_block``, ``entering``, ``exiting`` and (with ``ids``) ``block_id``: a two-state automaton entered at starts and left at ends.
 
     Start and end lines belong to the block; a start inside and an end outside are ignored; a line that is both toggles.
     """
@@ -64,7 +65,7 @@ def blocks(df: DataFrame, starts: Column, ends: Column) -> DataFrame:
     df = df.withColumn("_was", F.coalesce(F.lag("_after").over(_window(False)), F.col("_carry")))
     df = df.withColumns({"in_block": (F.col("_was") == 1) | F.col("_s"), "entering": (F.col("_was") == 0) & F.col("_s"), "exiting": (F.col("_was") == 1) & F.col("_e")})
     df = df.drop("_set", "_tog", "_grp", "_base", "_par", "_after", "_was", "_carry", "_s", "_e", "chunk")
-    return prefix_sum(df, F.col("entering").cast("long"), "block_id")
+    return prefix_sum(df, F.col("entering").cast("long"), "block_id") if ids else df
 
 
 def context(df: DataFrame, keep: Column, before: int, after: int) -> DataFrame:

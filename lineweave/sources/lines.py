@@ -16,9 +16,9 @@ LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typ
 def split_lines(df: DataFrame, source: str, text: str) -> DataFrame:
     """The lines of a text column, numbered from 1. They end at line feeds only; ends of lines are cut off, and an empty piece
     after the last line feed is no line. Null texts have no lines."""
-    pieces = F.split(F.col(text), "\n")
-    pieces = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(pieces)
-    return df.filter(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.posexplode(pieces).alias("pos", "value")).select("source", (F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"))
+    c = F.col(text)
+    pieces = F.split(F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.char_length(c) - 1)).otherwise(c), "\n")
+    return df.filter(c.isNotNull() & (c != "")).select(F.col(source).alias("source"), F.posexplode(pieces).alias("pos", "value")).select("source", (F.col("pos") + 1).cast("long").alias("line_no"), F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"))
 
 
 def read_whole(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -38,7 +38,7 @@ def hits(p: Pattern, c: Column) -> Column:
         return F.contains(c, F.lit(p.source))
     if not set(p.source) & set("\\^$.|?*+()[]{}") and "case_insensitive" not in p.flags and "extended" not in p.flags:
         return F.contains(c, F.lit(p.source))
-    return c.rlike(p.java)
+    return F.contains(c, F.lit(p.required)) & c.rlike(p.java) if p.required else c.rlike(p.java)
 
 
 def count(p: Pattern, c: Column) -> Column:
@@ -57,7 +57,8 @@ def replaced(p: Pattern, c: Column, text: str, every: bool, backtracking: bool =
         at = F.instr(c, p.source)
         return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit(text), F.substring(c, at + len(p.source), F.char_length(c)))).otherwise(c)
     if not p.nullable and every:
-        return F.regexp_replace(c, p.java, java_template(tokens))
+        new = F.regexp_replace(c, p.java, java_template(tokens))
+        return F.when(F.contains(c, F.lit(p.required)), new).otherwise(c) if p.required else new
     if not p.nullable and not has_backreference(p.source):
         # Only the first match: what is before and behind it is captured around the pattern, whose groups move by one.
         return F.regexp_replace(c, p.prefix + r"\A((?s:.*?))(?<lwhit>" + p.body + r")((?s:.*))\z", "$1" + java_template([t if isinstance(t, str) else t + 2 for t in tokens]) + f"${p.groups + 3}")

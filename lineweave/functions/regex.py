@@ -43,6 +43,11 @@ class Pattern:
         """Whether it can match nothing at all; engines differ on empty matches, so such patterns go through Python."""
         return not self.fixed and _nullable(self.source, self.flags)
 
+    @property
+    def required(self) -> str:
+        """The longest string that every match holds for sure; '' if none is plain to see. A look for it spares the engine most lines."""
+        return "" if self.fixed or self.flags & {"case_insensitive", "extended"} else _required(self.source)
+
     @property
     def body(self) -> str:
         """The Java pattern without its leading flags."""
@@ -111,6 +116,65 @@ def _java(p: str, flags: frozenset[str], fixed: bool) -> str:
     return head + "".join(out)
 
 
+@lru_cache(4096)
+def _required(p: str) -> str:
+    if rx.search(r"\(\?[a-zA-Z-]+[:)]", p):
+        return ""
+    runs, cur, i = [], "", 0
+    while i < len(p):
+        c = p[i]
+        if c == "|":
+            return ""
+        if c == "\\" and i + 1 < len(p) and not p[i + 1].isalnum():
+            cur += p[i + 1]
+            i += 2
+            continue
+        if c in "*?{":
+            runs.append(cur[:-1])
+            cur = ""
+            i = p.index("}", i) + 1 if c == "{" and "}" in p[i:] else i + 1
+            continue
+        if c in "\\[(.^$+":
+            runs.append(cur)
+            cur = ""
+            if c == "\\":
+                if p[i + 1 : i + 2] in tuple("xuUcQkN0123456789"):  # characters by number or name, quoted text, back-references
+                    return ""
+                i = p.index("}", i) + 1 if p[i + 1 : i + 3] in ("p{", "P{") and "}" in p[i:] else i + 2
+            elif c in "[(":
+                i = _closed(p, i)
+            else:
+                i += 1
+            continue
+        cur += c
+        i += 1
+    return max([*runs, cur], key=len)
+
+
+def _closed(p: str, i: int) -> int:
+    """Where the class or group that opens at i has ended."""
+    depth, inside = 0, 0
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            i += 2
+            continue
+        if inside:
+            inside += (c == "[") - (c == "]")
+        elif c == "[":
+            inside = 1
+            if p[i + 1 : i + 2] == "^":
+                i += 1
+            if p[i + 1 : i + 2] == "]":
+                i += 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        i += 1
+        if not inside and not depth:
+            break
+    return i
+
+
 def mangled(name: str) -> str:
     return "g" + "".join(c if c.isascii() and c.isalnum() else f"X{ord(c):x}" for c in name)
 

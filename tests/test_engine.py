@@ -117,6 +117,15 @@ def test_templates(spark, t, expected):
     assert df.select(F.regexp_replace("v", p.java, java_template(template(t, p)))).first()[0] == expected
 
 
+@pytest.mark.parametrize(
+    ("pattern", "required"),
+    [(r"(\w+)@(\w+)", "@"), (r"ab*c", "a"), (r"ab+c", "ab"), (r"ab|cd", ""), (r"(ab|cd)ef", "ef"), (r"\[ERROR\] x", "[ERROR] x"), (r"(?i)abc", ""), (r"a{0,2}bc", "bc"), (r"[]x]yz\d", "yz"), (r"(?!no)yes", "yes"), (r"\p{Lu}q", "q"), (r"(a(b[)]c)d)?e", "e"), (r"\d+", ""), (r"ab?", "a"), (r"\x41bc", ""), (r"(a)\1b", ""), (r"a\bcd", "cd")],
+)
+def test_required(pattern, required):
+    assert Pattern(pattern).required == required
+    assert Pattern(pattern, frozenset({"case_insensitive"})).required == ""
+
+
 def test_empty_matches():
     assert substitute(Pattern(r"\d*"), "12a", lambda m: "-") == ("-a-", 2)
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +33,6 @@ BLOCK_LETTERS = 4_000_000
 STOCK_WORDS, STOCK_SHARE, STOCK_LEAST = 10, 0.03, 5
 #: A run must hold so many words that aren't stock wording.
 MIN_OWN = 20
-#: Windows that stand in more items than this are only looked at where a rarer one has hit the same item.
-RARE = 4
 #: A run of MIN_WORDS words with so few changes has at least so many hits on nearby diagonals: its unchanged stretches
 #: hold 21 words (about 105 letters) in at most five parts, each of which loses WINDOW - 1 positions.
 MIN_HITS, MIN_LETTERS, _BAND = 24, 50, 48
@@ -77,13 +75,22 @@ class Item:
     """A test item: its letters, the word each letter belongs to, and which words are stock wording."""
 
     def __init__(self, item_id: object, text: str) -> None:
-        self.id = item_id
+        self.id, self.ids = item_id, [item_id]
         self.words = [w for w in (letters(x) for x in text.split()) if w]
         self.text = "".join(self.words)
         self.starts = np.cumsum([0, *map(len, self.words)])
         self.stock = np.zeros(len(self.words), bool)
 
 
+def collapsed(items: list[Item]) -> list[Item]:
+    """One item for those with equal words; its ``ids`` are all theirs."""
+    one: dict[tuple, Item] = {}
+    for i in items:
+        if (first := one.setdefault(tuple(i.words), i)) is not i:
+            first.ids += i.ids
+    return list(one.values())
+
+
 def mark_stock(items: list[Item]) -> None:
     seen: dict[tuple, set] = defaultdict(set)
     texts = {i.text: n for n, i in enumerate(items)}  # items with equal texts don't make their wording stock
@@ -102,19 +109,21 @@ class Index:
 
     def __init__(self, items: list[Item]) -> None:
         self.items = items
-        hashes, which, at = [], [], []
+        hashes, which, at, own = [], [], [], []
         for n, i in enumerate(items):
             h = window_hashes(_codes(i.text))
             hashes.append(h), which.append(np.full(len(h), n, np.int32)), at.append(np.arange(len(h), dtype=np.int32))
+            # Only windows made of stock words alone are no sign of a leak.
+            stock = np.cumsum([0, *np.repeat(i.stock, np.diff(i.starts))])
+            own.append(stock[WINDOW:] - stock[:-WINDOW] < WINDOW if len(h) else np.zeros(0, bool))
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(h, kind="stable")
         self.hashes, self.which, self.at = h[order], np.concatenate([*which, np.zeros(0, np.int32)])[order], np.concatenate([*at, np.zeros(0, np.int32)])[order]
+        self.own = np.concatenate([*own, np.zeros(0, bool)])[order]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.shared = Counter()
         unique, start, count = np.unique(self.hashes, return_index=True, return_counts=True)
         self.unique, self.start, self.count = unique, start, count
-        self.rare = np.array([len(set(self.which[s : s + c])) <= RARE for s, c in zip(start, count)], bool)
 
     def passages(self, texts: list[str]) -> Iterator[tuple[int, Item, int, int]]:
         """(number of the text, item, first letter, end letter) of each leaked passage's best run; letters as ``letters`` gives them."""
@@ -133,15 +142,15 @@ class Index:
         first = ends - np.array([len(s) + 1 for s in streams])
         n = self.count[k]
         rows = np.repeat(self.start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        docs, spots, rare = np.repeat(doc, n), np.repeat(pos - first[doc], n), np.repeat(self.rare[k], n)
-        which, at = self.which[rows], self.at[rows]
+        docs, spots = np.repeat(doc, n), np.repeat(pos - first[doc], n)
+        which, at, own = self.which[rows], self.at[rows], self.own[rows]
         pair = docs.astype(np.int64) * len(self.items) + which
         # Hits in each band of diagonals, and in the next one with it.
         band = pair * (1 << 20) + ((spots - at) // _BAND + (1 << 16))
         bands, size = np.unique(band, return_counts=True)
         beside = np.searchsorted(bands, bands + 1)
         both = size + np.where((beside < len(bands)) & (bands[np.minimum(beside, len(bands) - 1)] == bands + 1), size[np.minimum(beside, len(bands) - 1)], 0)
-        wanted = np.intersect1d(np.unique(bands[both >= MIN_HITS] >> 20), np.unique(pair[rare]))
+        wanted = np.intersect1d(np.unique(bands[both >= MIN_HITS] >> 20), np.unique(pair[own]))
         if not len(wanted):
             return
         order = np.argsort(pair, kind="stable")
@@ -258,6 +267,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, spans: bool = False)
     """(doc_id, item_id), and with ``spans`` also where the passage stands (start, end in the text's letters)."""
     spark = documents.sparkSession
     items = [Item(r.item_id, r.text or "") for r in eval_items.select("item_id", "text").toLocalIterator()]
+    items = collapsed(items)
     mark_stock(items)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     item_type = eval_items.schema["item_id"].dataType.simpleString()
@@ -272,8 +282,8 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, spans: bool = False)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for a in range(0, len(texts), 2000):
-                    found = list(index.passages([t or "" for t in texts[a : a + 2000]]))
-                    cols = [ids.take(pa.array([a + f[0] for f in found], pa.int64())), pa.array([f[1].id for f in found], item_kind)]
+                    found = [(f[0], i, *f[2:]) for f in index.passages([t or "" for t in texts[a : a + 2000]]) for i in f[1].ids]
+                    cols = [ids.take(pa.array([a + f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], item_kind)]
                     if spans:
                         cols += [pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
                     if found:

@@ -60,6 +60,17 @@ def test_stock_wording():
     assert not list(c.Index(items).passages([" ".join(stock + items[0].words[14:25])]))
 
 
+def test_passages_shared_by_items(spark):
+    part, filler = words(25, 11), words(40, 12)
+    items = [c.Item(k, " ".join(words(30, 300 + k) + (part if k < 6 else []) + words(30, 700 + k))) for k in range(240)]
+    c.mark_stock(items)
+    assert not items[0].stock.any()
+    assert sorted(i.id for _, i, _, _ in c.Index(items).passages([" ".join(filler + part + filler)])) == list(range(6))
+    equal = spark.createDataFrame([(k, " ".join(words(60, 21))) for k in range(5)] + [(9, " ".join(words(60, 22)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(filler + words(60, 21)[10:40]))], "doc_id long, text string")
+    assert rows(c.find_leaks(docs, equal), "item_id") == [(1, k) for k in range(5)]
+
+
 # --- packing -----------------------------------------------------------------------------------------------------------
 
 

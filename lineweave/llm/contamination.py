@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ BLOCK_LETTERS = 4_000_000
 STOCK_WORDS, STOCK_SHARE, STOCK_LEAST = 10, 0.03, 5
 #: A run must hold so many words that aren't stock wording.
 MIN_OWN = 20
-#: A run of MIN_WORDS words with so few changes has at least so many hits on nearby diagonals: its unchanged stretches
-#: hold 21 words (about 105 letters) in at most five parts, each of which loses WINDOW - 1 positions.
+#: So many hits on nearby diagonals and letters in a chain are asked for at most; an item whose run of MIN_WORDS words can
+#: have less with so few changes (``least_hits``) asks for less.
 MIN_HITS, MIN_LETTERS, _BAND = 24, 50, 48
 _GAP = 90  # letters between two matching stretches of one passage
 
@@ -79,7 +80,33 @@ class Item:
         self.words = [w for w in (letters(x) for x in text.split()) if w]
         self.text = "".join(self.words)
         self.starts = np.cumsum([0, *map(len, self.words)])
+        self.begins = self.starts.tolist()
         self.stock = np.zeros(len(self.words), bool)
+        self.hits = least_hits(self.starts)
+        self.letters = min(MIN_LETTERS, self.hits + WINDOW - 1)
+
+
+def least_hits(starts: np.ndarray) -> int:
+    """The fewest windows that stay whole in a run of MIN_WORDS words, whichever of its words are changed; 1 at least."""
+    runs = len(starts) - MIN_WORDS
+    if runs < 1:
+        return 1
+    changes, least = MIN_WORDS // CHANGED, MIN_HITS
+    for lo in range(0, runs, 20_000):
+        hi = min(lo + 20_000, runs)
+        # fewest[c]: windows before word j, which is the c-th changed one.
+        at = [starts[lo + j : hi + j] for j in range(MIN_WORDS + 1)]
+        fewest: list[dict[int, np.ndarray]] = [{} for _ in range(changes + 2)]
+        for j in range(MIN_WORDS + 1):
+            fewest[1][j] = np.maximum(at[j] - at[0] - (WINDOW - 1), 0)
+            for i in range(j):
+                part = np.maximum(at[j] - at[i + 1] - (WINDOW - 1), 0)
+                for c in range(1, changes + 1):
+                    if i in fewest[c]:
+                        n = fewest[c][i] + part
+                        fewest[c + 1][j] = np.minimum(fewest[c + 1][j], n) if j in fewest[c + 1] else n
+        least = min(least, int(fewest[changes + 1][MIN_WORDS].min()))
+    return max(least, 1)
 
 
 def collapsed(items: list[Item]) -> list[Item]:
@@ -120,6 +147,7 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes, self.which, self.at = h[order], np.concatenate([*which, np.zeros(0, np.int32)])[order], np.concatenate([*at, np.zeros(0, np.int32)])[order]
         self.own = np.concatenate([*own, np.zeros(0, bool)])[order]
+        self.least = np.array([i.hits for i in items], np.int64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
         unique, start, count = np.unique(self.hashes, return_index=True, return_counts=True)
@@ -150,7 +178,7 @@ class Index:
         bands, size = np.unique(band, return_counts=True)
         beside = np.searchsorted(bands, bands + 1)
         both = size + np.where((beside < len(bands)) & (bands[np.minimum(beside, len(bands) - 1)] == bands + 1), size[np.minimum(beside, len(bands) - 1)], 0)
-        wanted = np.intersect1d(np.unique(bands[both >= MIN_HITS] >> 20), np.unique(pair[own]))
+        wanted = np.intersect1d(np.unique(bands[both >= self.least[(bands >> 20) % max(1, len(self.items))]] >> 20), np.unique(pair[own]))
         if not len(wanted):
             return
         order = np.argsort(pair, kind="stable")
@@ -176,20 +204,27 @@ def verify(item: Item, stream: str, spots: np.ndarray, ats: np.ndarray) -> tuple
         return None
     # Chains of stretches that go on in both texts; the best one by letters.
     best: list[tuple[int, int]] = []
+    longest = max((n for _, _, n in parts), default=0)
     for j, (p, q, n) in enumerate(parts):
         top = (n, -1)
-        for i in range(j - 1, max(-1, j - 40), -1):
+        for i in range(j - 1, -1, -1):
             pp, qq, nn = parts[i]
+            if p - pp > _GAP + longest:
+                break
             dp, dq = p - pp - nn, q - qq - nn
             overlap = max(0, -dp, -dq)
             if overlap < n and p > pp and q > qq and dp <= _GAP and dq <= _GAP and abs(dp - dq) <= _GAP // 2 and best[i][0] + n - overlap > top[0]:
                 top = (best[i][0] + n - overlap, i)
         best.append(top)
-    for j in sorted(range(len(parts)), key=lambda j: -best[j][0])[:3]:
-        if best[j][0] < MIN_LETTERS:
+    tried: set[int] = set()
+    for j in sorted(range(len(parts)), key=lambda j: -best[j][0]):
+        if best[j][0] < item.letters:
             break
+        if j in tried:  # the beginning of a chain already tried
+            continue
         chain = []
         while j >= 0:
+            tried.add(j)
             chain.append(parts[j])
             j = best[j][1]
         if run := _longest(item, stream, chain[::-1]):
@@ -198,57 +233,50 @@ def verify(item: Item, stream: str, spots: np.ndarray, ats: np.ndarray) -> tuple
 
 
 def _longest(item: Item, stream: str, chain: list[tuple[int, int, int]]) -> tuple[int, int] | None:
-    words, starts = item.words, item.starts
+    words, starts = item.words, item.begins
     n = len(words)
-    where = np.full(n, -1)  # at which letter of the text each kept word stands
+    where: dict[int, int] = {}  # at which letter of the text each kept word stands
     for p, q, length in chain:
-        lo, hi = int(np.searchsorted(starts, q, side="left")), int(np.searchsorted(starts, q + length, side="right")) - 1
-        for w in range(lo, hi):
-            if where[w] < 0:
-                where[w] = p + int(starts[w]) - q
-    kept = np.flatnonzero(where >= 0)
-    if not len(kept):
+        for w in range(bisect_left(starts, q), bisect_right(starts, q + length) - 1):
+            where.setdefault(w, p + starts[w] - q)
+    if not where:
         return None
+    kept = sorted(where)
     # Short unchanged words between the stretches, and before and after them.
-    for a, b in [*zip(kept, kept[1:])]:
-        at = int(where[a]) + len(words[a])
+    for a, b in zip(kept, kept[1:]):
+        at = where[a] + len(words[a])
         for w in range(a + 1, b):
-            found = stream.find(words[w], at, int(where[b]))
+            found = stream.find(words[w], at, max(0, where[b]))
             if found >= 0 and found - at <= 12 * (w - a):
                 where[w] = found
                 at = found + len(words[w])
-    at = int(where[kept[-1]]) + len(words[kept[-1]])
+    at = where[kept[-1]] + len(words[kept[-1]])
     for w in range(kept[-1] + 1, min(n, kept[-1] + 14)):
         found = stream.find(words[w], at, at + len(words[w]) + 10)
         if found >= 0:
             where[w] = found
             at = found + len(words[w])
-    at = int(where[kept[0]])
+    at = where[kept[0]]
     for w in range(kept[0] - 1, max(-1, kept[0] - 14), -1):
         found = stream.rfind(words[w], max(0, at - len(words[w]) - 10), at)
         if found >= 0:
             where[w] = found
             at = found
-    kept = np.flatnonzero(where >= 0)
-    # Words put in between count as changes; a word has about six letters.
-    added = np.zeros(n + 1)
-    for a, b in zip(kept, kept[1:]):
-        between = int(where[b]) - int(where[a]) - len(words[a])
-        extra = max(0.0, between / 6 - (b - a - 1))
-        added[b] = extra if extra >= 0.75 else 0
-    lost = np.cumsum([0, *(where < 0).astype(int)])
-    more = np.cumsum(added)
-    own = np.cumsum([0, *(~item.stock).astype(int)])
-    top = None
-    for a in kept:
-        for b in kept[::-1]:
-            size = b - a + 1
-            if size < MIN_WORDS or (top and size <= top[0]):
-                break
-            if (lost[b + 1] - lost[a] + more[b] - more[a]) * CHANGED <= size and own[b + 1] - own[a] >= MIN_OWN:
-                top = (size, int(where[a]), int(where[b]) + len(words[b]))
-                break
-    return top[1:] if top else None
+    if len(where) * CHANGED < MIN_WORDS * (CHANGED - 1):
+        return None
+    kept = np.array(sorted(where))
+    at = np.array([where[w] for w in kept.tolist()])
+    # Words put in between count as changes; a word has about six letters. In sixths of a word, from 0.75 words on.
+    extra = np.diff(at) - (item.starts[1:] - item.starts[:-1])[kept[:-1]] - 6 * (np.diff(kept) - 1)
+    changes = CHANGED * (kept - np.arange(len(kept)))
+    changes[1:] += CHANGED * np.cumsum(np.where(extra >= 5, extra, 0)) // 6
+    own = np.cumsum(np.append(0, ~item.stock))
+    # From each first word the last one with few enough changes: the run holds the most words and the most of its own.
+    last = np.searchsorted(np.minimum.accumulate((changes - kept - 1)[::-1])[::-1], changes - kept, side="right") - 1
+    ends = kept[np.maximum(last, 0)]
+    sizes = np.where((last >= 0) & (own[ends + 1] - own[kept] >= MIN_OWN), ends - kept + 1, 0)
+    k = int(np.argmax(sizes))
+    return (int(at[k]), where[int(ends[k])] + len(words[ends[k]])) if sizes[k] >= MIN_WORDS else None
 
 
 def _blocks(items: list[Item]) -> Iterator[list[Item]]:

@@ -71,6 +71,23 @@ def test_passages_shared_by_items(spark):
     assert rows(c.find_leaks(docs, equal), "item_id") == [(1, k) for k in range(5)]
 
 
+def test_leak_beside_long_copies():
+    item = words(80, 31)
+    i = c.Item(1, " ".join(item))
+    edited = [w if k % 4 else "zzzzz" for k, w in enumerate(item)]
+    filler = words(60, 32)
+    texts = [" ".join(edited + filler + item[40:65]), " ".join(edited + filler + edited + words(60, 33) + edited + words(60, 34) + item[40:65])]
+    assert [d for d, *_ in c.Index([i]).passages(texts)] == [0, 1]
+
+
+def test_leak_of_short_words():
+    draw = random.Random(41)
+    item = ["".join(draw.choice("abcdefghij") for _ in range(4)) for _ in range(60)]
+    part = [w if k not in (4, 9, 14, 19) else "zzzz" for k, w in enumerate(item[20:45])]
+    text = " ".join(words(40, 42) + part + words(40, 43))
+    assert [d for d, *_ in c.Index([c.Item(1, " ".join(item))]).passages([text])] == [0]
+
+
 # --- packing -----------------------------------------------------------------------------------------------------------
 
 

@@ -253,3 +253,25 @@ def test_toxic_tables(spark):
     assert [x[0] for x in r] == [None, "s"] and r[1][1] == 201
     assert toxicity.find_toxic(docs, labels.limit(0)).count() == 0
     assert toxicity.find_toxic(docs.limit(0), labels).count() == 0
+
+
+def test_look_passes_what_the_patterns_match():
+    draw = random.Random(5)
+    digits = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+    texts = ["0049 30 1234567", "0049-30-1234567", "0049 (0)30 1234567", "0034 91 123 45 67", "0041 44 668 18 00", "04 1234567", "06/1234567", "01.23 45.67 89", "taxid 12345678", "taxno 1 2 3 4 5 6 7 8", "passportnumber C1234567"]
+    texts += ["123-45 6789", "AB 123456 C", "AB12 3456 C", "POBox 12", "ann[ at ]example.com", "ann\tAT\texample.com", "ann@\u017fite.com", "\u0661\u0662\u0663-456-7890"]
+    for sep in " .-":
+        texts += [f"+{digits(2)}{sep}{digits(3)}{sep}{digits(4)}", f"00{digits(2)}{sep}{digits(2)}{sep}{digits(5)}", f"1{'-' if sep == '.' else sep}{digits(3)}{sep}{digits(3)}{sep}{digits(4)}"]
+    texts += [f"0{digits(a)}{sep}{digits(b)}{tail}" for a in (1, 2, 4) for b in (3, 5, 8) for sep in " /" for tail in ("", " " + digits(2))]
+    for w in "tax-id steuernummer steueridentifikationsnummer tin itin vat_id ust-idnr nif dni nie curp insee svnr ahv".split():
+        texts.append(f"{w}: {digits(9)}")
+    for w in ("passport no.", "reisepassnr", "passeport", "pasaporte", "ausweisnummer", "personalausweis", "id card", "id_cardno"):
+        texts.append(f"{w} C{digits(7)}")
+    for w in ("ssn", "social security", "national insurance no", "nino", "sozialversicherungsnr", "seguridad social"):
+        texts.append(f"{w}: {digits(3)}{digits(2)}{digits(4)}")
+    for text in texts:
+        low = text.lower()
+        may = pii._possible(text, low, pii._LETTERS.findall(low))
+        matched = [label for rx, label in pii._FORMS if rx.search(text)]
+        assert matched and all(may >> label & 1 for label in matched), (text, matched, may)
+    assert all(pii.candidate(f"{t.title()} Xqwert", pii.Lexicon()) for t in pii.TITLES)

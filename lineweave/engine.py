@@ -186,8 +186,14 @@ class _Run:
             self.keep(F.col("_x").isNotNull(), i)
             self.put(F.col("_x"))
             self.df = self.df.drop("_x")
-            if s.deduplicate:
-                self.df = dedup_pieces(self.df) if not self.trace else self.df
+            if s.deduplicate and self.trace:
+                left = dedup_pieces(self.df.filter(self.alive())).select("source", "line_no", F.col("value").alias("_left"))
+                self.df = self.df.join(left, ["source", "line_no"], "left")
+                self.keep(F.col("_left").isNotNull(), i)
+                self.put(F.col("_left"))
+                self.df = self.df.drop("_left")
+            elif s.deduplicate:
+                self.df = dedup_pieces(self.df)
         elif s.type == "validate":
             ok = hits(p, v)
             self.measure(i, ok.cast("int"))

@@ -20,6 +20,16 @@ def out(spark, text, *steps, **settings):
     return [r[2] for r in rows(engine.run(p, frame(spark, text)).lines, "line_no")]
 
 
+def test_extract_deduplicate_with_stats_and_trace(spark):
+    p = spec.from_dict({"step": [{"type": "extract", "pattern": r"\[\w+\]", "deduplicate": True}, {"type": "substitute", "pattern": "R", "replacement": "r"}]})
+    want = rows(engine.run(p, frame(spark, LOG)).lines, "line_no")
+    r = engine.run(p, frame(spark, LOG), stats=True)
+    assert [x[2] for x in want] == ["[INFO]", "[ErrOr]", "[DEBUG]"]
+    assert rows(r.lines, "line_no") == want == rows(engine.run(p, frame(spark, LOG), trace=True).lines, "line_no")
+    s = {x.step_index: x for x in r.stats.collect()}
+    assert s[0].lines_out == 3 and s[1].lines_in == 3
+
+
 LOG = "2024 [INFO] start user_id=7\n2024 [ERROR] bad 192.168.1.2\n2024 [DEBUG] noise\n2024 [ERROR] bad again"
 
 

@@ -174,7 +174,9 @@ def _first_rules(c: str) -> tuple[int, ...]:
         return (2, 6)
     if c.isalpha():
         return (3, 4, 2, 5, 6) if c.isascii() else (2,)
-    return ()
+    if c == ":":
+        return (6,)
+    return (1, 2, 3, 4, 5, 6)  # all but that for JSON, which takes any line with members
 
 
 def clean(text: str) -> str:
@@ -232,7 +234,7 @@ class HeaderParser:
         words = words_of(t)
         key = self.template(words)
         known = self.rules.get(key) if key else None
-        if known is not None and (got := RULES[known](t))[0]:
+        if known in first and (got := RULES[known](t))[0]:
             return self._completed(got, t, words)
         for i in first:
             if (got := RULES[i](t))[0]:

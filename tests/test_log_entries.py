@@ -39,6 +39,13 @@ def test_no_headers(line):
     assert HeaderParser(set()).parse(line)[0] == NONE
 
 
+@pytest.mark.parametrize("address", ["::1", "::ffff:10.0.0.1", ":::1", "2001:db8::1", ".1"])
+def test_access_lines_by_their_first_character(address):
+    got = HeaderParser(set()).parse(f'{address} - - [10/Oct/2025:13:55:36 +0000] "GET / HTTP/1.1" 200 5')
+    assert got[0] == (START if len(address) > 2 else NONE) and bool(got[4]) == (len(address) > 2)
+    assert HeaderParser(set()).parse('"level": "info",')[0] == NONE
+
+
 def test_braces():
     p = HeaderParser(set())
     assert [p.parse(x)[0] for x in ("{", '  "level": "info",', '  "other": 1', "payload {", "}")] == [BRACE, MEMBER, NONE, OTHER_BRACE, OTHER_BRACE]

@@ -69,6 +69,7 @@ _DEFAULTED = re.compile(r"\$\{([A-Za-z_]\w*):?[=-]([^}]*(?:\}\})?[^}]*)\}")
 _COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|/\*|;|<!--|\*|REM)\s*(.*)$")
 _NAMED_IN_TEXT = re.compile(r"(?i)\b(pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|credentials?|(?:api|access|private|secret|signing|old|new|temp|root|admin|master)[ _-]?key|key|login)\b(?:\s+(?:is|was|for|to|used|now|old|new|temp|staging|prod|dev))*\s*[:=]?\s+([^\s'\"`,;)]{6,})")
 _BEFORE = re.compile(r"([A-Za-z_$][\w.\-]*)\s*(?:['\"`]\s*\]?|\]|\))?\s*(?::\s*&?(?:'\w+\s+)?[\w<>\[\], ]+?)?\s*(?::=|=>|\|\||\?\?|[=:,(]|\breturn\b|\s)\s*(?:f|r|b|u|rb|&)?$")
+_ASSIGNED = re.compile(r"[\w.\-]['\"`]?\s*[\])]?\s*(?::=|=>|\|\||\?\?|[=:,(])\s*(?:f|r|b|u|rb|&)?$")
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*?)(PRIVATE KEY(?: BLOCK)?|PUBLIC KEY(?: BLOCK)?|CERTIFICATE(?: REQUEST)?|[A-Z0-9 ]+?)-----")
 _PEM_BODY = re.compile(r"^\s*(?:[\"'`]?[A-Za-z0-9+/]{4,}={0,3}(?:\\n)?[\"'`]?\s*[,+\\]*\s*|(?:Proc-Type|DEK-Info|Comment|Version|Headers?|Key-\w+):.*)?$")
 _LONE = re.compile(r"^\s*(?:[+.&|]\s*)?(?:f|r|b)?([\"'`])((?:[^\"'`\\]|\\.)*)\1\s*(?:\+|\\|\.|&|,|\+\s*\\|\)|;|\);|\.\.)?\s*$")
@@ -92,24 +93,31 @@ def is_secret_name(name: str) -> bool:
     return any(_SECRET_NAME.fullmatch(w) for w in words) or bool(re.search(r"(?i)(?:api|access|private|secret|signing|encryption|auth|account|shared|master|service|client|deploy|ssh|storage|license)_key|apikey|password|passwd|passphrase", joined))
 
 
-def literal(value: str) -> bool:
-    """Whether a value can be a secret itself: not blank, a filler, a reference, a number, an id or a digest's form."""
+def literal(value: str, named: bool = False) -> bool:
+    """Whether a value can be a secret itself: not blank, a filler, a reference, an id or a digest's form, and unless its
+    name says that it is a secret, no number and without spaces."""
     v = value.strip()
-    return len(v) >= 4 and not _FILLER.match(v) and not _ID.match(v) and not v.startswith(("http://", "https://", "./", "../", "~/")) and not re.match(r"/[a-z][a-z0-9_.-]*(?:/|$)", v) and " " not in v
+    return len(v) >= 4 and not _FILLER.match(v) and (not _ID.match(v) or named and v.isdigit()) and not v.startswith(("http://", "https://", "./", "../", "~/")) and not re.match(r"/[a-z][a-z0-9_.-]*(?:/|$)", v) and (named or " " not in v)
 
 
 def _strong(value: str, named: bool, folder: str) -> bool:
     """Whether an unquoted or quoted value is a secret given whether its name says so."""
-    if not literal(value):
+    if not literal(value, named):
         return False
     if named:
         if value.isalpha() and value.islower() and characters_per_subword(value, folder) >= 3.5:
             return False  # a plain word: ``auth = enabled``
         return True
-    if _HEX.match(value) or len(value) < UNNATURAL_LENGTH or len(value) > 200 or not re.fullmatch(r"[A-Za-z0-9+/_=.~!$%^*@\-]+", value):
+    if _HEX.match(value) or len(value) < UNNATURAL_LENGTH or not re.fullmatch(r"[A-Za-z0-9+/_=.~!$%^*@\-]+", value):
         return False
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return kinds == 3 and value.count("/") <= len(value) / 12 and characters_per_subword(value, folder) < UNNATURAL
+    # With two kinds of characters signs are those of names, hosts and addresses.
+    return (kinds == 3 or kinds == 2 and value.rstrip("=").isalnum()) and value.count("/") <= len(value) / 12 and characters_per_subword(value, folder) < UNNATURAL
+
+
+def _port(name: str, value: str) -> bool:
+    """Whether a number stands under a name whose last word isn't a secret's: ``auth-01.example:5671``."""
+    return value.isdigit() and not is_secret_name("_".join([w for w in _SPLIT.split(name) if w][-2:]))
 
 
 def find_in_line(text: str, folder: str = FOLDER) -> list[tuple[int, int]]:
@@ -143,12 +151,14 @@ def find_in_line(text: str, folder: str = FOLDER) -> list[tuple[int, int]]:
         if q:
             name = q[1]
         named = is_secret_name(name) or bool(re.fullmatch(r"[\w.\-]+", after) and is_secret_name(after) and m.end() <= comment.start())
+        if " " in v and not _ASSIGNED.search(t[: m.start()]):
+            continue  # prose: ``auth-gateway: upstream said "try later"``
         if _strong(v, named, folder):
             spans.append(m.span(k))
     unquoted = _QUOTED.sub(lambda m: '"' + " " * (len(m[0]) - 2) + '"' if len(m[0]) > 1 else m[0], t)
     for m in [*_BARE.finditer(unquoted), *_DOCKER.finditer(unquoted)]:
         if not re.match(r"(?:true|false|null|none|self|this|str|string|int|bool|Optional|&str|String)\b", m[2]) and not m[2].startswith(("$", "//")) and not re.fullmatch(r"[A-Za-z_][\w.]*\(?.*\(.*|[a-z_]\w*(?:\.\w+)+", m[2]):
-            named = is_secret_name(m[1])
+            named = is_secret_name(m[1]) and not _port(m[1], m[2])
             if _strong(m[2].rstrip("\\"), named, folder) and not (named and re.match(r"\s*\(", unquoted[m.end() :])):
                 spans.append((m.start(2), m.start(2) + len(m[2].rstrip("\\"))))
     # An environment line within quotes: "PASSWORD=...".
@@ -156,7 +166,7 @@ def find_in_line(text: str, folder: str = FOLDER) -> list[tuple[int, int]]:
         inner = m[1] or m[2] or m[3] or ""
         at = m.start() + 1
         for x in _BARE.finditer(inner):
-            if is_secret_name(x[1]) and _strong(x[2], True, folder):
+            if is_secret_name(x[1]) and not _port(x[1], x[2]) and _strong(x[2], True, folder):
                 spans.append((at + x.start(2), at + x.end(2)))
     if comment:
         for m in _NAMED_IN_TEXT.finditer(t, comment.start()):

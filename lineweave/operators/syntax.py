@@ -182,3 +182,27 @@ def scoped(files: DataFrame, operation: str, pattern: str, language: str, scope:
 
     kind = {"extract": "array<string>", "validate": "boolean"}.get(operation, "string")
     return files.withColumn("result", F.pandas_udf(lambda s: s.map(one), kind)("text"))
+
+
+#: Which files are of which language.
+ENDINGS = {"python": ("py", "pyi"), "javascript": ("js", "jsx", "mjs", "cjs"), "typescript": ("ts", "tsx"), "rust": ("rs",), "go": ("go",), "json": ("json",), "yaml": ("yaml", "yml")}
+
+
+def whole_files(line_matches: DataFrame) -> DataFrame:
+    """(source, language, text) of the files in a supported language: lines in order, a lost original by its transformed text."""
+    ending = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    language = F.coalesce(*[F.when(ending.isin(*e), F.lit(name)) for name, e in ENDINGS.items()])
+    lines = line_matches.select(F.col("path").alias("source"), language.alias("language"), "line_number", F.regexp_replace(F.coalesce("original_line", "transformed_line"), r"[\r\n]+$", "").alias("line"))
+    one = lines.filter("language is not null and line is not null").groupBy("source", "language", "line_number").agg(F.max("line").alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
+    return one.groupBy("source", "language").agg(text.alias("text"))
+
+
+def scoped_files(line_matches: DataFrame, operation: str, pattern: str, scope: list[str]) -> DataFrame:
+    """``scoped`` over whole files, each in its language; languages without one of the scopes are left out."""
+    files, out = whole_files(line_matches), None
+    for language in ENDINGS:
+        if set(scope) <= SUPPORTED[language]:
+            part = scoped(files.filter(F.col("language") == language), operation, pattern, language, scope)
+            out = part if out is None else out.unionByName(part)
+    return out

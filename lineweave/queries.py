@@ -195,7 +195,7 @@ QUERIES["changed_lines"] = lambda s, d: (lambda r: sinks.changes(r.original, r.l
 SQL["changed_lines"] = _LINES + " SELECT source, line_no, value AS old, CASE WHEN NOT regexp_matches(value, '^#') THEN regexp_replace(value, '[0-9]+', 'N', 'g') END AS new FROM lines WHERE regexp_matches(value, '^#') OR regexp_matches(value, '[0-9]')"
 QUERIES["jsonl_rows"] = lambda s, d: sinks.jsonl(t(s, d, "pipeline_runs").select("run_id", "status"))
 SQL["jsonl_rows"] = """SELECT '{"run_id":' || run_id || ',"status":"' || status || '"}' AS value FROM pipeline_runs"""
-QUERIES["scoped_strings"] = lambda s, d: syntax.scoped(t(s, d, "line_matches").filter("path like '%.py' and original_line is not null").select(F.col("line_id").alias("source"), F.col("original_line").alias("text")), "extract", r"\w+", "python", ["strings"]).select("source", "result")
+QUERIES["scoped_strings"] = lambda s, d: syntax.scoped_files(t(s, d, "line_matches"), "extract", r"\w+", ["strings"]).select("source", "result")
 QUERIES["range_lines"] = lambda s, d: within_ranges(lines(s, d), t(s, d, "documents").select(F.col("doc_id").alias("source"), F.lit(2).alias("first"), F.lit(4).alias("last")))
 SQL["range_lines"] = _LINES + " SELECT source, line_no, value FROM lines WHERE line_no BETWEEN 2 AND 4"
 QUERIES["stream_lines"] = lambda s, d: streaming.line_by_line(_pipeline(_fil("the"), _sub(r"\d+", "N")), lines(s, d)).select("source", "line_no", "out")

@@ -176,3 +176,12 @@ def test_null_and_empty(spark):
     p = spec.from_dict({"step": [{"type": "substitute", "pattern": "a", "replacement": "b"}]})
     assert sorted(r.value for r in engine.run(p, df).lines.collect()) == ["", "b"]
     assert engine.run(p, df.limit(0)).lines.count() == 0
+
+
+def test_scopes_over_whole_files(spark):
+    from lineweave.operators import syntax
+
+    lines = [("a.py", 1, 'x = """it\'s one', None), ("a.py", 2, "isn't two", None), ("a.py", 3, None, 'three"""; y = 4'), ("a.py", 1, 'x = """it\'s one', None), ("b.js", 1, "f('five'); six", None), ("c.log", 1, "'seven'", None), ("d.yml", 1, 'k: "eight"', None)]
+    df = spark.createDataFrame(lines, "path string, line_number long, original_line string, transformed_line string")
+    got = {r.source: r.result for r in syntax.scoped_files(df, "extract", r"\w{3,}", ["strings"]).collect()}
+    assert got == {"a.py": ["one", "isn", "two", "three"], "b.js": ["five"], "d.yml": ["eight"]}

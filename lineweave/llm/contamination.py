@@ -17,14 +17,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..plans import cut
 
 WINDOW = 14
 MIN_WORDS = 25
@@ -39,7 +43,11 @@ MIN_OWN = 20
 MIN_HITS, MIN_LETTERS, _BAND = 24, 50, 48
 _GAP = 90  # letters between two matching stretches of one passage
 
-_TAG, _ENTITY, _NON = re.compile(r"</?[A-Za-z][^<>]{0,200}>"), re.compile(r"&#?\w{1,10};"), re.compile(r"[\W_]+")
+_TAG, _ENTITY, _NON = re.compile(r"</?[A-Za-z][^<>]*>"), re.compile(r"&#?\w{1,10};"), re.compile(r"[\W_]+")
+_NO_LETTERS = bytes(c for c in range(256) if not (c < 128 and chr(c).isalnum()))
+#: Items of more words than this skip ``may_hold`` (its table has a column per word) and are verified right away.
+_TABLE_WORDS = 2000
+_FAR = 10_000_000
 
 
 def letters(text: str) -> str:
@@ -48,9 +56,9 @@ def letters(text: str) -> str:
         text = _TAG.sub("", text)
     if "&" in text:
         text = _ENTITY.sub("", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _NON.sub("", text.lower())
+    if text.isascii():
+        return text.lower().encode().translate(None, _NO_LETTERS).decode()
+    return _NON.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
 def _codes(text: str) -> np.ndarray:
@@ -76,7 +84,7 @@ class Item:
     """A test item: its letters, the word each letter belongs to, and which words are stock wording."""
 
     def __init__(self, item_id: object, text: str) -> None:
-        self.id, self.ids = item_id, [item_id]
+        self.id = item_id
         self.words = [w for w in (letters(x) for x in text.split()) if w]
         self.text = "".join(self.words)
         self.starts = np.cumsum([0, *map(len, self.words)])
@@ -109,25 +117,23 @@ def least_hits(starts: np.ndarray) -> int:
     return max(least, 1)
 
 
-def collapsed(items: list[Item]) -> list[Item]:
-    """One item for those with equal words; its ``ids`` are all theirs."""
-    one: dict[tuple, Item] = {}
-    for i in items:
-        if (first := one.setdefault(tuple(i.words), i)) is not i:
-            first.ids += i.ids
-    return list(one.values())
+def _runs_of(words: list[str]) -> list[str]:
+    return [" ".join(words[k : k + STOCK_WORDS]) for k in range(len(words) - STOCK_WORDS + 1)]
 
 
-def mark_stock(items: list[Item]) -> None:
-    seen: dict[tuple, set] = defaultdict(set)
-    texts = {i.text: n for n, i in enumerate(items)}  # items with equal texts don't make their wording stock
-    for i in items:
-        for k in range(len(i.words) - STOCK_WORDS + 1):
-            seen[tuple(i.words[k : k + STOCK_WORDS])].add(texts[i.text])
-    least = max(STOCK_LEAST, STOCK_SHARE * len(texts))
+def stock_runs(items: list[Item]) -> set[str]:
+    """The runs of words that are stock wording; items with equal words don't make theirs stock."""
+    each = {i.text: set(_runs_of(i.words)) for i in items}
+    seen = Counter(r for runs in each.values() for r in runs)
+    least = max(STOCK_LEAST, STOCK_SHARE * len(each))
+    return {r for r, n in seen.items() if n > least}
+
+
+def mark_stock(items: list[Item], runs: set[str] | None = None) -> None:
+    runs = stock_runs(items) if runs is None else runs
     for i in items:
-        for k in range(len(i.words) - STOCK_WORDS + 1):
-            if len(seen[tuple(i.words[k : k + STOCK_WORDS])]) > least:
+        for k, r in enumerate(_runs_of(i.words)):
+            if r in runs:
                 i.stock[k : k + STOCK_WORDS] = True
 
 
@@ -148,6 +154,11 @@ class Index:
         self.hashes, self.which, self.at = h[order], np.concatenate([*which, np.zeros(0, np.int32)])[order], np.concatenate([*at, np.zeros(0, np.int32)])[order]
         self.own = np.concatenate([*own, np.zeros(0, bool)])[order]
         self.least = np.array([i.hits for i in items], np.int64)
+        # The words of all items in one row, for ``may_hold``.
+        self.sizes = np.array([len(i.words) for i in items], np.int64)
+        self.bases = np.concatenate([[0], np.cumsum([len(i.text) for i in items])]).astype(np.int64)
+        self.firsts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.starts = np.concatenate([*[i.starts[:-1] + b for i, b in zip(items, self.bases)], self.bases[-1:]]).astype(np.int64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
         unique, start, count = np.unique(self.hashes, return_index=True, return_counts=True)
@@ -181,25 +192,86 @@ class Index:
         wanted = np.intersect1d(np.unique(bands[both >= self.least[(bands >> 20) % max(1, len(self.items))]] >> 20), np.unique(pair[own]))
         if not len(wanted):
             return
-        order = np.argsort(pair, kind="stable")
+        chosen = np.isin(pair, wanted)
+        pair, spots, at = pair[chosen], spots[chosen], at[chosen]
+        # Stretches of hits on one diagonal, of all pairs at once.
+        order = np.lexsort((spots, spots - at, pair))
         pair, spots, at = pair[order], spots[order], at[order]
-        for w, lo, hi in zip(wanted, np.searchsorted(pair, wanted), np.searchsorted(pair, wanted, side="right")):
-            d, item = int(w) // len(self.items), self.items[int(w) % len(self.items)]
-            if run := verify(item, streams[d], spots[lo:hi], at[lo:hi]):
+        cuts = np.flatnonzero((np.diff(pair) != 0) | (np.diff(spots - at) != 0) | (np.diff(spots) != 1)) + 1
+        begin, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pair)]])
+        pair, p, q, size = pair[begin], spots[begin], at[begin], end - begin + WINDOW - 1
+        wanted = wanted[self.may_hold(wanted, pair, q, size)]
+        lows, highs = np.searchsorted(pair, wanted), np.searchsorted(pair, wanted, side="right")
+        for w, lo, hi in zip(wanted.tolist(), lows.tolist(), highs.tolist()):
+            d, item = w // len(self.items), self.items[w % len(self.items)]
+            if run := verify(item, streams[d], sorted(zip(p[lo:hi].tolist(), q[lo:hi].tolist(), size[lo:hi].tolist()))):
                 yield d, item, *run
 
-
-def _stretches(spots: np.ndarray, ats: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal stretches (at in the text, at in the item, letters) of hits on one diagonal."""
-    order = np.lexsort((spots, spots - ats))
-    s, a = spots[order], ats[order]
-    cuts = np.flatnonzero((np.diff(s - a) != 0) | (np.diff(s) != 1)) + 1
-    return sorted((int(s[i]), int(a[i]), int(s[j - 1] - s[i]) + WINDOW) for i, j in zip([0, *cuts], [*cuts, len(s)]))
-
-
-def verify(item: Item, stream: str, spots: np.ndarray, ats: np.ndarray) -> tuple[int, int] | None:
-    """The span in the text's letters of a run of the item's words that is long and unchanged enough, or None."""
-    parts = _stretches(spots, ats)
+    def may_hold(self, wanted: np.ndarray, pair: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the stretches of each wanted pair leave room for a leaked run.
+
+        Words that no stretch covers whole hold edits: where a stretch ends a word was changed or put in, and so it was wherever
+        ``WINDOW`` letters go by without a hit. The fewest edits that can be, counted along the item, are a bound from below;
+        pairs that are above the allowed number everywhere need no further look.
+        """
+        out = np.ones(len(wanted), bool)
+        item = wanted % len(self.items)
+        n = self.sizes[item]
+        out[n < MIN_WORDS] = False
+        small = np.flatnonzero(out & (n <= _TABLE_WORDS))
+        small = small[np.argsort(n[small], kind="stable")]
+        which = pair % len(self.items)
+        # The words that each stretch covers whole, counted in the item.
+        w0 = np.searchsorted(self.starts, self.bases[which] + q) - self.firsts[which]
+        w1 = np.searchsorted(self.starts, self.bases[which] + q + size, side="right") - 1 - self.firsts[which]
+        row = np.searchsorted(wanted, pair)
+        place = np.full(len(wanted), -1)
+        for lo in range(0, len(small), 4096):
+            some = small[lo : lo + 4096]
+            most = int(n[some].max())
+            place[:] = -1
+            place[some] = np.arange(len(some))
+            mine = place[row] >= 0
+            r, a, b = place[row[mine]], w0[mine], w1[mine]
+            r, a, b = r[b > a], a[b > a], b[b > a]
+            covered = np.cumsum(np.bincount(a * len(some) + r, minlength=(most + 1) * len(some)).reshape(most + 1, -1) - np.bincount(b * len(some) + r, minlength=(most + 1) * len(some)).reshape(most + 1, -1), 0)[:most] > 0
+            index = np.minimum(self.firsts[item[some]][None] + np.arange(most)[:, None], len(self.starts) - 2)
+            length = self.starts[index + 1] - self.starts[index]
+            words = np.arange(most)[:, None]
+            # The fewest edits up to each word, counted from the item's beginning.
+            upto = np.zeros((most, len(some)), np.int32)
+            edits, loose, inside = np.zeros(len(some), np.int32), np.zeros(len(some), np.int32), np.zeros(len(some), bool)
+            for w in range(most):
+                c, l = covered[w], length[w]
+                forced = ~c & (~inside | (loose + l >= WINDOW))
+                edits = edits + (forced | (c & (loose > 0)))
+                loose = np.where(c | forced, 0, loose + l)
+                inside = ~c
+                upto[w] = edits
+            # For a run that starts at a word that isn't covered, those up to the next covered one are counted from there backwards.
+            start = np.zeros((most, len(some)), np.int32)
+            far, extra = np.full(len(some), -_FAR, np.int32), np.zeros(len(some), np.int32)
+            loose, inside = np.zeros(len(some), np.int32), np.zeros(len(some), bool)
+            for w in range(most - 1, -1, -1):
+                c, l = covered[w], length[w]
+                forced = ~c & (~inside | (loose + l >= WINDOW))
+                extra = np.where(c, 0, extra + forced)
+                loose = np.where(c | forced, 0, loose + l)
+                inside = ~c
+                far = np.where(c, upto[w], far)
+                start[w] = far - extra
+            best = np.maximum.accumulate(CHANGED * start - words, 0)
+            good = ((CHANGED * upto - words - 1)[MIN_WORDS - 1 :] <= best[: most - MIN_WORDS + 1]) & (words < n[some])[MIN_WORDS - 1 :]
+            good = good.any(0)
+            out[some] = good
+        return out
+
+
+def verify(item: Item, stream: str, parts: list[tuple[int, int, int]]) -> tuple[int, int] | None:
+    """The span in the text's letters of a run of the item's words that is long and unchanged enough, or None.
+
+    parts: the stretches (at in the text, at in the item, letters) in which both agree, in order.
+    """
     if len(item.words) < MIN_WORDS:
         return None
     # Chains of stretches that go on in both texts; the best one by letters.
@@ -279,7 +351,7 @@ def _longest(item: Item, stream: str, chain: list[tuple[int, int, int]]) -> tupl
     return (int(at[k]), where[int(ends[k])] + len(words[ends[k]])) if sizes[k] >= MIN_WORDS else None
 
 
-def _blocks(items: list[Item]) -> Iterator[list[Item]]:
+def _blocks(items: Iterator[Item]) -> Iterator[list[Item]]:
     block, n = [], 0
     for i in items:
         block.append(i)
@@ -291,27 +363,62 @@ def _blocks(items: list[Item]) -> Iterator[list[Item]]:
         yield block
 
 
+def _normal_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [" ".join(w for w in map(letters, (t or "").split()) if w) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string())], ["item_id", "words"])
+
+
+def _stock_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([r for t in b.column(0).to_pylist() for r in set(_runs_of(t.split(" ")))], pa.string())], ["run"])
+
+
+_indexes: dict[str, Index] = {}
+
+
+def _index_of(name: str, shared) -> Index:  # noqa: ANN001
+    """The index of a block, built once per worker process."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(shared.value)
+    return _indexes[name]
+
+
 def find_leaks(documents: DataFrame, eval_items: DataFrame, spans: bool = False) -> DataFrame:
-    """(doc_id, item_id), and with ``spans`` also where the passage stands (start, end in the text's letters)."""
+    """(doc_id, item_id), and with ``spans`` also where the passage stands (start, end in the text's letters).
+
+    Items with equal words are looked for once. Which wording is stock is counted in Spark; there are at most (words per item) /
+    STOCK_SHARE such runs. The driver reads the items one block at a time, each block is one scan over the documents.
+    """
     spark = documents.sparkSession
-    items = [Item(r.item_id, r.text or "") for r in eval_items.select("item_id", "text").toLocalIterator()]
-    items = collapsed(items)
-    mark_stock(items)
     id_type = documents.schema["doc_id"].dataType.simpleString()
     item_type = eval_items.schema["item_id"].dataType.simpleString()
+    kind = to_arrow_type(eval_items.schema["item_id"].dataType)
     ddl = f"doc_id {id_type}, item_id {item_type}" + (", start_letter bigint, end_letter bigint" if spans else "")
+    normal = cut(eval_items.select("item_id", "text").mapInArrow(_normal_items, f"item_id {item_type}, words string").filter("words <> ''"))
+    single = cut(normal.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("same")))
+    size = single.agg(F.count("*").alias("texts"), F.max("same").alias("same")).first()
+    least = max(STOCK_LEAST, STOCK_SHARE * size.texts)
+    runs = {r.run for r in single.select("words").mapInArrow(_stock_runs, "run string").groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("run").toLocalIterator()}
+
+    def made() -> Iterator[Item]:
+        for r in single.select("item_id", "words").toLocalIterator():
+            i = Item(r.item_id, r.words)
+            mark_stock([i], runs)
+            yield i
+
     out = None
-    for block in _blocks(items) if items else [[]]:
-        shared = spark.sparkContext.broadcast(block)
+    for block in _blocks(made()) if size.texts else [[]]:
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
-            item_kind = None
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index_of(name, shared)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 for a in range(0, len(texts), 2000):
-                    found = [(f[0], i, *f[2:]) for f in index.passages([t or "" for t in texts[a : a + 2000]]) for i in f[1].ids]
-                    cols = [ids.take(pa.array([a + f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], item_kind)]
+                    found = [(d, i.id, *at) for d, i, *at in index.passages([t or "" for t in texts[a : a + 2000]])]
+                    cols = [ids.take(pa.array([a + f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], kind)]
                     if spans:
                         cols += [pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64())]
                     if found:
@@ -319,6 +426,9 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, spans: bool = False)
 
         part = documents.select("doc_id", "text").filter("text is not null").mapInArrow(run, ddl)
         out = part if out is None else out.unionByName(part)
+    if (size.same or 1) > 1:
+        same = normal.join(single.withColumnRenamed("item_id", "_one"), "words").select("_one", F.col("item_id").alias("_each"))
+        out = out.join(same, F.col("item_id") == F.col("_one")).withColumn("item_id", F.col("_each")).drop("_one", "_each")
     return out
 
 

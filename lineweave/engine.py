@@ -71,12 +71,15 @@ def _per_match(p: Pattern, f, every: bool):  # noqa: ANN001, ANN202
 
 def transformed(s: Step, p: Pattern, c: Column, settings: Settings) -> Column:
     kind = s.transform["type"]
-    if p.source in tf.WHOLE and not p.fixed and kind in tf.COLUMNS:
-        f = tf.COLUMNS[kind]
+    f = tf.column(s.transform, s.replacement)
+    if p.source in tf.WHOLE and not p.fixed and f is not None:
         one = (lambda x: F.when(x != "", f(x)).otherwise(x)) if "+" in p.source else f
         # A rewritten line may hold line feeds, which the pattern doesn't cross (and an anchored one then doesn't match).
         many = c if p.source.startswith("^") else F.array_join(F.transform(F.split(c, "\n"), one), "\n")
         return F.when(F.contains(c, F.lit("\n")), many).otherwise(one(c))
+    if kind in ("prepend", "append") and not p.fixed and not p.nullable and s.is_global:
+        text = s.transform.get("text", s.replacement or "")
+        return F.regexp_replace(c, p.java, java_template([text, 0] if kind == "prepend" else [0, text]))
     return _per_match(p, tf.action(s.transform, s.replacement, settings.allow_shell, settings.shell_timeout_secs), s.is_global)(c)
 
 
@@ -117,12 +120,18 @@ def extracted(s: Step, p: Pattern, c: Column, first_line: Column) -> Column:
     return F.pandas_udf(lambda v, h: pd.Series([one(x, y) for x, y in zip(v, h)], dtype=object), "string")(c, first_line)
 
 
+def numbered(s: Step) -> bool:
+    """Whether a step puts running numbers in."""
+    return s.type == "substitute" and ("${seq}" in (s.replacement or "") or "${count}" in (s.replacement or ""))
+
+
 class _Run:
     def __init__(self, p: Pipeline, lines: DataFrame, trace: bool, stats: bool, reverse: bool = False) -> None:
         found = problems(p)
         if found:
             raise SpecError("; ".join(found))
         self.p, self.settings, self.trace, self.stats = p, p.settings, trace or stats, stats
+        self.lines, self.counting = lines, False
         value = F.regexp_replace("value", ANSI, "") if self.settings.strip_ansi else F.col("value")
         self.original = lines.select("source", F.col("line_no").cast("long").alias("line_no"), "value").filter("value is not null")
         self.df = self.original.select("source", "line_no", F.col("value").alias("orig"), value.alias("value"))
@@ -231,29 +240,31 @@ class _Run:
 
     def substitute(self, i: int, s: Step, p: Pattern, v: Column) -> None:
         text = s.replacement or ""
-        if "${seq}" in text or "${count}" in text:
+        if numbered(s):
             n = self.replacements(s, p, v)
             self.df = ordered.prefix_sum(self.df, F.when(self.alive(), n).otherwise(0), "_last")
-            start = F.col("_last") - n
+            seq = F.col("_last") - n
+            total = self.count_before(i, n) if "${count}" in text else F.lit(0).cast("long")
             every = s.is_global
-            marked = text.replace("${seq}", "\x00").replace("${count}", "\x00")
-            tokens = template(marked, p, s.backtracking(self.settings))
+            tokens = template(text.replace("${seq}", "\x00").replace("${count}", "\x01"), p, s.backtracking(self.settings))
 
-            def number(values: pd.Series, starts: pd.Series) -> pd.Series:
+            def number(values: pd.Series, seqs: pd.Series, totals: pd.Series) -> pd.Series:
                 def one(x: str, k: int) -> str:
-                    k = int(k)
+                    done = 0
 
                     def make(m) -> str:  # noqa: ANN001
-                        nonlocal k
-                        k += 1
-                        return expand(tokens, m).replace("\x00", str(k))
+                        nonlocal done
+                        done += 1
+                        return expand(tokens, m).replace("\x00", str(k[0] + done)).replace("\x01", str(k[1] + done))
 
                     return substitute(p, x, make, every)[0]
 
-                return pd.Series([None if x is None else one(x, k) for x, k in zip(values, starts)], dtype=object)
+                return pd.Series([None if x is None else one(x, (int(a), int(b))) for x, a, b in zip(values, seqs, totals)], dtype=object)
 
-            new = F.pandas_udf(number, "string")(v, start)
+            new = F.pandas_udf(number, "string")(v, seq, total)
             self.measure(i, n, new != v)
+            if self.counting:
+                self.df = self.df.withColumn(f"_k{i}", F.when(self.alive(), n.cast("long")).otherwise(0))
             self.put(new)
             self.df = self.df.drop("_last")
             return
@@ -262,6 +273,29 @@ class _Run:
             self.measure(i, self.replacements(s, p, v), new != v)
         self.put(new)
 
+    def count_before(self, i: int, n: Column) -> Column:
+        """How many matches the steps with numbers have replaced before this step comes to a line: those of all such steps on
+        the lines before, and of the steps before this one on the line. What later steps replace is found by a run of its
+        own, in which every number is 0; it raises where that isn't what they replace in the end."""
+        each = [k for k, s in self.p.active if numbered(s)]
+        if len(each) == 1 or self.counting:
+            return F.col("_last") - n
+        if any((s.mode or self.settings.mode) != "line" or s.scope or s.exclude_scopes for _, s in self.p.active):
+            raise SpecError("${count} over several steps needs line mode")
+        if "_before" not in self.df.columns:
+            from dataclasses import replace
+
+            plain = replace(self.p, steps=tuple(replace(s, replacement=s.replacement.replace("${count}", "0")) if numbered(s) else s for s in self.p.steps))
+            shadow = _Run(plain, self.lines, True, False)
+            shadow.counting = True
+            found = shadow.run().traced
+            found = found.withColumns({f"_k{k}": F.coalesce(f"_k{k}", F.lit(0)) for k in each})
+            sums = ordered.prefix_sum(found, sum((F.col(f"_k{k}") for k in each), F.lit(0)), "_all")
+            counts = sums.select("source", "line_no", (F.col("_all") - sum((F.col(f"_k{k}") for k in each), F.lit(0))).alias("_before"), *[F.col(f"_k{k}").alias(f"_c{k}") for k in each])
+            self.df = self.df.join(counts, ["source", "line_no"], "left")
+        assumed = F.when(self.alive() & (n != F.col(f"_c{i}")), F.raise_error(F.lit("a later step matches the numbers that ${count} puts in"))).otherwise(F.lit(0).cast("long"))
+        return F.col("_before") + sum((F.col(f"_c{k}") for k in each if k < i), F.lit(0).cast("long")) + assumed
+
     def replacements(self, s: Step, p: Pattern, v: Column) -> Column:
         """How many matches a step replaces in a line."""
         return count(p, v) if s.is_global else F.least(count(p, v), F.lit(1))
@@ -275,36 +309,39 @@ class _Run:
         inside, action = F.col("in_block"), s.action
         df = ordered.blocks(df, hits(start, v), hits(s.compiled(s.end_pattern, self.settings), v) if s.end_pattern else F.lit(False), ids=bool(content or action == "deduplicate" or s.block_context))
         name = action if isinstance(action, str) else next(iter(action)) if isinstance(action, dict) else None
-        if name == "mark_block":
+        found = F.col("entering").cast("long")
+        if name in ("collect_block", "deduplicate") and content is None:
+            found = found + inside.cast("long")
+        df = df.withColumn("_old", v)
+        if s.block_context and (s.block_context.get("overlap_chars") or s.block_context.get("overlap_lines")):
+            df = _overlap(df, s.block_context.get("overlap_chars"))
+        if name == "mark_block" and content is None:
             df = df.withColumn("value", F.when(inside, F.concat(F.lit(action["mark_block"]["marker"]), v)).otherwise(v))
-        elif name == "substitute_in_block":
+        elif name == "substitute_in_block" and content is None:
             a = action["substitute_in_block"]
             df = df.withColumn("value", F.when(inside, replaced(Pattern(a["pattern"]), v, a["replacement"], True)).otherwise(v))
         keep = F.lit(True)
-        if name in ("keep_block", "drop_block"):
-            hit = inside
-            if content is not None:
-                # The whole block is decided at its end; its end line isn't looked at. A block without an end is lost.
-                decided = df.filter(inside).groupBy("source", "block_id").agg(F.max(hits(content, v) & ~F.col("exiting")).alias("_has"), F.max("exiting").alias("_ended"))
-                df = df.join(decided, ["source", "block_id"], "left")
-                hit = inside & F.coalesce("_has", F.lit(False)) & F.coalesce("_ended", F.lit(False))
-                keep = hit if name == "keep_block" else ~inside | (~F.coalesce("_has", F.lit(False)) & F.coalesce("_ended", F.lit(False)))
-            else:
-                keep = hit if name == "keep_block" else ~inside
+        if content is not None:
+            # The whole block is decided at its end; its end line isn't looked at. A block without an end is lost.
+            decided = df.filter(inside).groupBy("source", "block_id").agg(F.max(hits(content, F.col("_old")) & ~F.col("exiting")).alias("_has"), F.max("exiting").alias("_ended"))
+            df = df.join(decided, ["source", "block_id"], "left")
+            has, ended = F.coalesce("_has", F.lit(False)), F.coalesce("_ended", F.lit(False))
+            stays = ended & (has if name == "keep_block" else ~has if name == "drop_block" else F.lit(True))
+            keep = inside & stays if name == "keep_block" else ~inside | stays
+        elif name in ("keep_block", "drop_block"):
+            keep = inside if name == "keep_block" else ~inside
         elif name == "deduplicate":
             # Equal blocks: by a digest of their lines in order, so no block is gathered.
-            sig = df.filter(inside).select("source", "block_id", F.xxhash64("value", (F.col("line_no") - F.min("line_no").over(_block_window()))).alias("h"), "line_no")
+            firsts = df.filter("entering").select("source", "block_id", F.col("line_no").alias("_from"))
+            sig = df.filter(inside).join(firsts, ["source", "block_id"]).select("source", "block_id", F.xxhash64("value", F.col("line_no") - F.col("_from")).alias("h"))
             sig = sig.groupBy("source", "block_id").agg(F.bit_xor("h").alias("_x"), F.count("*").alias("_n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("_sum"))
             first = sig.groupBy("source", "_x", "_n", "_sum").agg(F.min("block_id").alias("block_id")).select("source", "block_id", F.lit(True).alias("_first"))
             df = df.join(first, ["source", "block_id"], "left")
             keep = ~inside | F.coalesce("_first", F.lit(False))
-        extra = [c for c in ("in_block", "entering", "exiting", "block_id", "_has", "_ended", "_first") if c in df.columns]
-        if s.block_context and s.block_context.get("overlap_chars"):
-            df = _overlap(df, int(s.block_context["overlap_chars"]))
-        self.df = df.withColumn("_keep", keep).drop(*extra)
-        self.measure(i, F.lit(0))
+        self.df = df.withColumns({"_keep": keep, "_found": found})
+        self.measure(i, F.col("_found"), ~F.col("_old").eqNullSafe(v))
         self.keep(F.col("_keep"), i)
-        self.df = self.df.drop("_keep")
+        self.df = self.df.drop("_keep", "_found", "_old", "in_block", "entering", "exiting", "block_id", "_has", "_ended", "_first")
         if rest is not None:
             self.df = self.df.unionByName(rest, allowMissingColumns=True)
 
@@ -370,8 +407,7 @@ class _Run:
     def run(self) -> Result:
         steps = self.p.active
         whole = False
-        if all((s.mode or self.settings.mode) == "line" and not (s.scope or s.exclude_scopes) for _, s in steps):
-            self.line_limits()
+        self.line_limits()
         for i, s in steps:
             scoped = bool(s.scope or s.exclude_scopes)
             mode = "scope" if scoped else s.mode or self.settings.mode
@@ -394,10 +430,14 @@ class _Run:
             final = out.select("source", "line_no", F.col("value").alias("_new"))
             every = self.original.join(final, ["source", "line_no"], "left")
             out = ordered.context(every, F.col("_new").isNotNull(), s.context_before, s.context_after).withColumn("value", F.coalesce("_new", "value"))
+        if s.preserve_line_endings and "eol" in self.lines.columns:
+            # A line that comes out under a number of the input ends as that line did; others end in a line feed.
+            out = out.select("source", "line_no", "value").join(self.lines.select("source", F.col("line_no").cast("long").alias("line_no"), "eol"), ["source", "line_no"], "left").withColumn("eol", F.coalesce("eol", F.lit("LF")))
         errors = None
         for e in self.errors:
             errors = e if errors is None else errors.unionByName(e)
-        return Result(out.select("source", "line_no", "value"), self.original, errors, self.df if self.trace else None, self._stats() if self.stats else None)
+        kept = ["eol"] if s.preserve_line_endings and "eol" in self.lines.columns else []
+        return Result(out.select("source", "line_no", "value", *kept), self.original, errors, self.df if self.trace else None, self._stats() if self.stats else None)
 
     def _stats(self) -> DataFrame:
         """(step_index, lines_in, lines_out, lines_dropped, matches, transformations)."""
@@ -409,23 +449,17 @@ class _Run:
         return g.select("step_index", "lines_in", (F.col("lines_in") - F.col("lines_dropped")).alias("lines_out"), "lines_dropped", "matches", "transformations")
 
 
-def _block_window():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source", "block_id")
-
-
-def _overlap(df: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` characters of a block's end line put before the next block's first line."""
-    tail = df.filter("exiting").select("source", (F.col("block_id") + 1).alias("block_id"), F.expr(f"right(value, {n})").alias("_tail"))
+def _overlap(df: DataFrame, n: int | None) -> DataFrame:
+    """The last ``n`` characters of a block's end line (without ``n`` all of it) put before the next block's first line."""
+    tail = df.filter("exiting").select("source", (F.col("block_id") + 1).alias("block_id"), (F.expr(f"right(value, {int(n)})") if n else F.col("value")).alias("_tail"))
     return df.join(tail, ["source", "block_id"], "left").withColumn("value", F.when(F.col("entering") & F.col("_tail").isNotNull(), F.concat("_tail", "value")).otherwise(F.col("value"))).drop("_tail")
 
 
 def dedup_pieces(df: DataFrame) -> DataFrame:
     """Of all pieces that lines are rendered to (split at line feeds) the first of each; empty ones stay. Lines left without a piece go."""
     x = df.select("source", "line_no", "orig", F.posexplode(F.split("value", "\n")).alias("pos", "piece"))
-    first = x.filter("piece <> ''").groupBy("source", "piece").agg(F.min(F.struct("line_no", "pos")).alias("f"))
-    kept = x.join(first, ["source", "piece"], "left").filter((F.col("piece") == "") | ((F.col("f.line_no") == F.col("line_no")) & (F.col("f.pos") == F.col("pos"))))
+    first = x.filter("piece <> ''").groupBy("source", "piece").agg(F.min_by(F.struct("line_no", "pos", "orig"), F.struct("line_no", "pos")).alias("f"))
+    kept = first.select("source", "f.line_no", "f.orig", "f.pos", "piece").unionByName(x.filter("piece = ''"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda p: p["piece"]), "\n")
     return kept.groupBy("source", "line_no", "orig").agg(text.alias("value"))
 
@@ -451,16 +485,51 @@ def unused_steps(stats: DataFrame) -> DataFrame:
     return stats.filter("matches = 0 and transformations = 0").select("step_index")
 
 
+def pipeline_stats(result: Result) -> DataFrame:
+    """One row of a run with stats: (lines_processed, lines_output, lines_dropped, matches_found, transformations_applied, errors, success_rate)."""
+    one = F.lit(1).alias("_one")
+    steps = result.stats.agg(F.coalesce(F.sum("lines_dropped"), F.lit(0)).alias("lines_dropped"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches_found"), F.coalesce(F.sum("transformations"), F.lit(0)).alias("transformations_applied"))
+    bad = result.errors.agg(F.count("*").alias("errors")) if result.errors is not None else steps.select(F.lit(0).cast("long").alias("errors"))
+    row = result.original.agg(F.count("*").alias("lines_processed")).select("*", one)
+    for part in (result.lines.agg(F.count("*").alias("lines_output")), steps, bad):  # each is one row
+        row = row.join(part.select("*", one), "_one")
+    n = F.col("lines_processed")
+    return row.select("lines_processed", "lines_output", "lines_dropped", "matches_found", "transformations_applied", "errors", F.when(n > 0, (n - F.col("errors")) / n).otherwise(0.0).alias("success_rate"))
+
+
+def why(p: Pipeline, lines: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The output lines that a pattern matches, and what each step did on the whole input (``Result.stats``)."""
+    r = run(p, lines, stats=True)
+    return r.lines.filter(hits(Pattern(pattern), F.col("value"))), r.stats
+
+
+def inspection_totals(found: DataFrame) -> DataFrame:
+    """(step_index, matches) from the rows of ``inspect``."""
+    return found.groupBy("step_index").agg(F.count("*").alias("matches"))
+
+
 def verification(matches_: int, transformations: int) -> str:
     """What a run amounts to."""
     return "transformations_applied" if transformations else "matches_found_no_transformations" if matches_ else "no_matches"
 
 
 def source_stats(result: Result) -> DataFrame:
-    """(source, lines_in, lines_out, changed)."""
+    """(source, lines_in, lines_out, changed), and of a run with stats the matches."""
     new = result.lines.select("source", "line_no", F.col("value").alias("_v"))
     j = result.original.join(new, ["source", "line_no"], "left")
-    return j.groupBy("source").agg(F.count("*").alias("lines_in"), F.count("_v").alias("lines_out"), F.count_if(F.col("_v") != F.col("value")).alias("changed"))
+    out = j.groupBy("source").agg(F.count("*").alias("lines_in"), F.count("_v").alias("lines_out"), F.count_if(F.col("_v") != F.col("value")).alias("changed"))
+    if result.stats is None:
+        return out
+    each = [F.coalesce(c, F.lit(0)) for c in result.traced.columns if c.startswith("_m")]
+    return out.join(result.traced.groupBy("source").agg(F.sum(sum(each, F.lit(0).cast("long"))).alias("matches")), "source", "left")
+
+
+def totals(per_source: DataFrame, skipped: int = 0) -> DataFrame:
+    """One row over the sources of a run with stats: (files_processed, files_matched, files_modified, files_skipped, total_matches, total_lines)."""
+    return per_source.agg(
+        F.count("*").alias("files_processed"), F.count_if(F.col("matches") > 0).alias("files_matched"), F.count_if((F.col("changed") > 0) | (F.col("lines_out") < F.col("lines_in"))).alias("files_modified"),
+        F.lit(skipped).cast("long").alias("files_skipped"), F.coalesce(F.sum("matches"), F.lit(0)).alias("total_matches"), F.coalesce(F.sum("lines_in"), F.lit(0)).alias("total_lines"),
+    )
 
 
 def inspect(p: Pipeline, lines: DataFrame) -> DataFrame:
@@ -521,16 +590,42 @@ def render_summary(row: dict, spec: Finalize, matches_: int = 0, transformations
         out = {"lines_processed": row["lines"], "total_matches": matches_, "total_transformations": transformations, "counters": {}}
         for c in spec.counters:
             entry: dict = {"count": row[c.name]}
-            if c.deduplicate:
-                entry["unique"] = row[c.name]
-            if c.collect_values:
+            if c.collect_values and row[f"{c.name}_values"]:
                 entry["values"] = list(row[f"{c.name}_values"])
+            if c.deduplicate:
+                entry["unique"] = True
             out["counters"][c.name] = entry
         return json.dumps(out, ensure_ascii=False)
     text = spec.template or ""
+    for c in spec.counters:
+        text = text.replace(f"${{count:{c.name}}}", str(row[c.name]))
     for name, v in {"lines": row["lines"], "matches": matches_, "transformations": transformations, **{c.name: row[c.name] for c in spec.counters}}.items():
         text = text.replace(f"${{{name}}}", str(v))
     return text
 
 
-__all__ = ["Result", "collected", "counters", "extracted", "hits", "inspect", "intermediates", "render_summary", "replaced", "run", "source_stats", "transformed", "unused_steps", "verification", "why_dropped"]
+def finalize(p: Pipeline, result: Result) -> str:
+    """What a run ends with: the rendered summary of the definition's ``finalize`` over the input lines and, where shell
+    commands are allowed, what its command says to the summary in JSON. The numbers of matches and changes are there for runs with stats."""
+    f = p.finalize
+    if f is None:
+        return ""
+    row = counters(result.original, f).first().asDict()
+    total = pipeline_stats(result).first() if result.stats is not None else None
+    n = (total.matches_found, total.transformations_applied) if total else (0, 0)
+    out = render_summary(row, f, *n) if f.template is not None or f.output_format == "json" else ""
+    if f.shell and p.settings.allow_shell:
+        import subprocess
+        from dataclasses import replace
+
+        given = render_summary(row, replace(f, output_format="json"), *n)
+        try:
+            done = subprocess.run(["sh", "-c", f.shell], input=given, capture_output=True, text=True, timeout=p.settings.shell_timeout_secs)
+            said = done.stdout if done.returncode == 0 else f"[finalize shell error: {done.stderr.strip()}]"
+        except (OSError, subprocess.SubprocessError) as e:
+            said = f"[finalize shell error: {e}]"
+        out = "\n".join(x.rstrip("\n") for x in (out, said) if x)
+    return out
+
+
+__all__ = ["Result", "finalize", "inspection_totals", "pipeline_stats", "totals", "why", "collected", "counters", "extracted", "hits", "inspect", "intermediates", "render_summary", "replaced", "run", "source_stats", "transformed", "unused_steps", "verification", "why_dropped"]

@@ -37,6 +37,38 @@ COLUMNS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def column(spec: dict, replacement: str | None = None) -> Callable[[Column], Column] | None:
+    """The expression for a transform of whole lines, if the JVM has one."""
+    kind = spec["type"]
+    name, args = (spec.get("name"), [str(x) for x in spec.get("args", [])]) if kind == "plugin" else (kind, [])
+    if kind == "plugin" and name in _REPLACED:
+        return None
+    if kind in ("prepend", "append"):
+        text = F.lit(spec.get("text", replacement or ""))
+        return (lambda c: F.concat(text, c)) if kind == "prepend" else (lambda c: F.concat(c, text))
+    if not args and name in COLUMNS:
+        return COLUMNS[name] if kind == "plugin" or name in SIMPLE or name in REGISTRY else None
+    n = _arg(args, 0, -1)
+    if name == "repeat":
+        return lambda c: F.repeat(c, max(_arg(args, 0, 2), 0))
+    if name == "slice" and n >= 0 and _arg(args, 1, n) >= n:
+        return lambda c: F.substring(c, F.lit(n + 1), F.lit(_arg(args, 1, 1 << 30) - n))
+    if name in ("pad_left", "pad_right") and n >= 0:
+        pad, char = F.lpad if name == "pad_left" else F.rpad, args[1][:1] if len(args) > 1 and args[1] else " "
+        return lambda c: F.replace(F.when(F.char_length(c) < n, pad(c, n, " ")).otherwise(c), F.lit(" "), F.lit(char))
+    if name == "truncate" and n >= 0:
+        return lambda c: F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit(args[1] if len(args) > 1 else "..."))).otherwise(c)
+    if name in ("strip_prefix", "strip_suffix") and args:
+        size = len(args[0])
+        cut = (lambda c: F.substring(c, F.lit(size + 1), F.char_length(c))) if name == "strip_prefix" else (lambda c: F.substring(c, F.lit(1), F.char_length(c) - size))
+        return lambda c: F.when(c.startswith(args[0]) if name == "strip_prefix" else c.endswith(args[0]), cut(c)).otherwise(c)
+    return None
+
+
+#: Names of built-in plugins that ``register`` has given another meaning.
+_REPLACED: set[str] = set()
+
+
 # --- on single strings --------------------------------------------------------------------------------------------------
 
 
@@ -170,6 +202,7 @@ REGISTRY: dict[str, Callable[[str, list[str]], str]] = {
 
 def register(name: str, function: Callable[[str, list[str]], str]) -> None:
     REGISTRY[name] = function
+    _REPLACED.add(name)
 
 
 def script(path: str, timeout: float = 30.0) -> Callable[[str, list[str]], str]:
@@ -226,8 +259,8 @@ def action(spec: dict, replacement: str | None = None, allow_shell: bool = False
         return shell(spec.get("command", arg), shell_timeout)
     if kind == "plugin" or kind not in SIMPLE:
         name, args = (spec["name"], list(spec.get("args", []))) if kind == "plugin" else (kind, [])
-        f = REGISTRY.get(name)
-        return (lambda s: f(s, args)) if f else (lambda s: s)
+        f = REGISTRY[name]
+        return lambda s: f(s, args)
     if kind in ("prepend", "append"):
         text = spec.get("text", arg)
         return (lambda s: text + s) if kind == "prepend" else (lambda s: s + text)
@@ -242,6 +275,53 @@ SIMPLE: dict[str, Callable[[str], str]] = {
 }
 
 
+def known(spec: dict) -> bool:
+    """Whether there is such a transform or plugin."""
+    kind = spec.get("type")
+    return spec.get("name") in REGISTRY if kind == "plugin" else kind in SIMPLE or kind in REGISTRY or kind in ("shell", "fpe_encrypt", "fpe_decrypt", "mask_deterministic")
+
+
+def load_plugins(folder: str, timeout: float = 30.0) -> list[str]:
+    """Registers every file of a folder as a plugin under its name without ending; a folder that isn't there has none."""
+    import os
+
+    if not os.path.exists(folder):
+        return []
+    if not os.path.isdir(folder):
+        raise NotADirectoryError(folder)
+    names = []
+    for f in sorted(os.listdir(folder)):
+        path = os.path.join(folder, f)
+        if os.path.isfile(path):
+            names.append(os.path.splitext(f)[0])
+            register(names[-1], script(path, timeout))
+    return names
+
+
+# What a shell command is warned about, and the words that show it.
+SHELL_WARNINGS = (
+    ("may modify the filesystem", ("rm ", "rm\t", "rmdir", "del ", "rd ", "mv ", "move ", "cp ", "copy ")),
+    ("network access", ("curl ", "wget ", "nc ", "netcat", "ssh ", "scp ", "rsync", "ftp ")),
+    ("elevated privileges", ("sudo ", "su ", "chmod ", "chown ", "runas")),
+    ("code injection", ("eval ", "exec ")),
+)
+
+
+def shell_warnings(command: str) -> list[str]:
+    """What a shell command may do that its author should know of."""
+    low = command.lower()
+    out = [f"{word.strip()}: {what}" for what, words in SHELL_WARNINGS for word in words if word in low]
+    if ">>" in command:
+        out.append(">>: appends to a file")
+    elif ">" in command and ">&" not in command:
+        out.append(">: writes to a file")
+    if "$" in command and "$'" not in command:
+        out.append("$: variable expansion")
+    if "`" in command or "$(" in command:
+        out.append("command substitution")
+    return out
+
+
 def secret(spec: dict, name: str) -> str:
     """A value given in the step, or (not both) in a file that the step names."""
     inline, path = spec.get(name), spec.get(f"{name}_file")

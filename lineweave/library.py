@@ -9,24 +9,24 @@ import tomllib
 # The built-in patterns.
 BUILTIN = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
-    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "ipv6": r"(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}",
-    "phone_us": r"\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    "ipv4": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    "ipv6": r"\b([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "phone_us": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "date_iso": r"\d{4}-\d{2}-\d{2}",
-    "date_us": r"\d{1,2}/\d{1,2}/\d{4}",
-    "time_24h": r"\d{2}:\d{2}:\d{2}",
-    "datetime_iso": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}",
-    "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    "date_iso": r"\b\d{4}-\d{2}-\d{2}\b",
+    "date_us": r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    "time_24h": r"\b\d{1,2}:\d{2}(:\d{2})?\b",
+    "datetime_iso": r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
+    "uuid": r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
     "hex_id": r"\b[0-9a-fA-F]{8,}\b",
-    "url": r"https?://[^\s<>\"]+",
-    "credit_card": r"\b(?:\d{4}[-\s]?){3}\d{4}\b",
-    "api_key": r"\b[A-Za-z0-9]{32,}\b",
-    "base64": r"[A-Za-z0-9+/]{20,}={0,2}",
-    "log_level": r"\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b",
-    "timestamp_syslog": r"[A-Z][a-z]{2}\s+\d{1,2}\s\d{2}:\d{2}:\d{2}",
+    "url": r"""https?://[^\s<>"']+""",
+    "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
+    "api_key": r"\b[A-Za-z0-9_-]{20,}\b",
+    "base64": r"\b[A-Za-z0-9+/]{20,}={0,2}\b",
+    "log_level": r"\b(DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b",
+    "timestamp_syslog": r"[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
     "json_object": r"\{[^{}]*\}",
-    "semver": r"\d+\.\d+\.\d+(?:-[a-zA-Z0-9.]+)?(?:\+[a-zA-Z0-9.]+)?",
+    "semver": r"\b\d+\.\d+\.\d+(-[a-zA-Z0-9.]+)?(\+[a-zA-Z0-9.]+)?\b",
 }
 REFERENCE = re.compile(r"\$\{([a-zA-Z_][a-zA-Z0-9_.:]*)\}")
 RESERVED = {"seq", "count"}

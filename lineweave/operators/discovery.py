@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import regex as rx
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,33 +10,44 @@ from pyspark.sql import functions as F
 from ..functions.regex import Pattern
 from ..library import BUILTIN
 
-#: The detectors of the report, by the names of built-in patterns.
-DETECTORS = ("email", "ipv4", "url", "uuid", "phone_us", "ssn", "credit_card", "date_iso", "datetime_iso", "time_24h", "hex_id", "log_level", "semver")
+# The detectors of the report, most of them built-in patterns.
+DETECTORS = {n: BUILTIN[n] for n in ("email", "ipv4", "phone_us", "date_iso", "date_us", "time_24h", "uuid", "hex_id", "url", "ssn", "credit_card", "api_key")} | {"base64_blob": BUILTIN["base64"]}
 EXAMPLES = 3
 
 
-def report(lines: DataFrame, detectors: dict[str, str] | None = None) -> DataFrame:
-    """(name, matches, lines, examples): all matches of each detector; up to three distinct examples, the smallest ones.
+def report(lines: DataFrame, detectors: dict[str, str] | None = None, with_examples: bool = True) -> DataFrame:
+    """(name, matches, lines), and with examples up to three distinct matches of each detector, the smallest ones.
 
     The detectors are constants of the plan, so a line is read once for all of them; counts are combined before the shuffle,
     and of the examples each task passes on three.
     """
-    d = detectors or {n: BUILTIN[n] for n in DETECTORS}
-    per = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract_all("value", F.lit(Pattern(p).java), F.lit(0)).alias("found")) for n, p in d.items()])
-    x = lines.select(F.explode(per).alias("x")).select("x.*").filter(F.size("found") > 0)
-    total = x.groupBy("name").agg(F.sum(F.size("found")).cast("long").alias("matches"), F.count("*").alias("lines"))
-    from pyspark.sql import Window
-
-    each = x.select("name", F.explode("found").alias("v")).groupBy("name", "v").agg(F.count("*").alias("_n"))
-    salted = each.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(64)))
-    w = Window.partitionBy("name", "_salt").orderBy("v")
-    few = salted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= EXAMPLES).groupBy("name").agg(F.slice(F.array_sort(F.collect_list("v")), 1, EXAMPLES).alias("examples"))
+    d = {n: Pattern(p) for n, p in (detectors or DETECTORS).items()}
+    # Lists are made of counts, so a pattern without a match costs no list.
+    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count("value", F.lit(p.java)).alias("n")) for n, p in d.items()])
+    total = lines.select(F.explode(counts).alias("x")).select("x.*").filter("n > 0").groupBy("name").agg(F.sum("n").cast("long").alias("matches"), F.count("*").alias("lines"))
+    if not with_examples:
+        return total
+    found = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract_all("value", F.lit(p.java), F.lit(0)).alias("found")) for n, p in d.items()])
+    each = lines.select(F.explode(found).alias("x")).select("x.name", F.explode("x.found").alias("v"))
+
+    def least(batches):  # noqa: ANN001, ANN202
+        best: dict[str, list[str]] = {}
+        for batch in batches:
+            for name, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                few = best.setdefault(name, [])
+                if v not in few and (len(few) < EXAMPLES or v < few[-1]):
+                    few.append(v)
+                    few.sort()
+                    del few[EXAMPLES:]
+        yield pa.RecordBatch.from_pydict({"name": pa.array([n for n, few in best.items() for _ in few], pa.string()), "v": pa.array([v for few in best.values() for v in few], pa.string())})
+
+    few = each.mapInArrow(least, "name string, v string").groupBy("name").agg(F.slice(F.array_sort(F.collect_set("v")), 1, EXAMPLES).alias("examples"))
     return total.join(few, "name")
 
 
 def suggestions(rows: list, least: int = 5) -> list[dict]:
     """Steps that would mask what the report found often enough."""
-    return [{"type": "substitute", "pattern": BUILTIN[r["name"]], "replacement": f"[{r['name'].upper()}]"} for r in sorted(rows, key=lambda r: -r["matches"]) if r["matches"] >= least and r["name"] in BUILTIN]
+    return [{"type": "substitute", "pattern": DETECTORS[r["name"]], "replacement": f"[{r['name'].upper()}]"} for r in sorted(rows, key=lambda r: -r["matches"]) if r["matches"] >= least and r["name"] in DETECTORS]
 
 
 def _runs(s: str) -> list[tuple[str, str]]:
@@ -88,16 +100,28 @@ def _candidates(positive: list[str]) -> dict[str, str]:
     return out
 
 
+#: Examples are written by hand; more than this is no set of examples but a table.
+MOST_EXAMPLES = 10_000
+
+
+def examples(text: str) -> tuple[list[str], list[str]]:
+    """Positive (``+``) and negative (``-``) examples, one a line; other lines count as positive, ``#`` begins a comment."""
+    rows = [x for x in map(str.strip, text.split("\n")) if x and not x.startswith("#")]
+    return [x.removeprefix("+").strip() for x in rows if not x.startswith("-")], [x[1:].strip() for x in rows if x.startswith("-")]
+
+
 def learn(positive: list[str], negative: list[str] = (), most: int = 5, least: int = 70) -> list[dict]:
     """Patterns that fit the examples: none that fits a negative one; by confidence, shorter first."""
-    positive = [p for p in positive if p][:1000]
+    positive = [p for p in positive if p]
+    if len(positive) + len(negative) > MOST_EXAMPLES:
+        raise ValueError(f"more than {MOST_EXAMPLES} examples")
     if not positive:
         return []
     out = []
     for name, p in _candidates(positive).items():
         c = rx.compile(p)
         good = sum(bool(c.fullmatch(x)) for x in positive) / len(positive)
-        bad = sum(bool(c.fullmatch(x)) for x in negative[:1000])
+        bad = sum(bool(c.fullmatch(x)) for x in negative)
         confidence = int(100 * (0.7 * good + 0.3 * (1 - bad / len(negative) if negative else 1)))
         if not bad and good and confidence >= least:
             out.append({"name": name, "pattern": p, "confidence": confidence})

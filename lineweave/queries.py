@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import engine, spec, streaming
-from .library import BUILTIN
 from .operators import crossfile, discovery, incremental, log_entries, mapping, syntax
 from .plans import table as t
 from .sources import sinks
@@ -18,7 +17,7 @@ SQL: dict = {}
 QUERIES["p1_found"] = lambda s, d: log_entries.find_entries(t(s, d, "line_matches"), t(s, d, "source_files"))
 QUERIES["p3_found"] = lambda s, d: log_entries.find_instants(t(s, d, "line_matches"), t(s, d, "source_files"))
 
-QUERIES["p4_found"] = lambda s, d: incremental.work_items(t(s, d, "source_files"), t(s, d, "checkpoints"), t(s, d, "pipeline_runs"), t(s, d, "mapping_entries"))
+QUERIES["p4_found"] = lambda s, d: incremental.work_items(t(s, d, "source_files"), t(s, d, "checkpoints"), t(s, d, "pipeline_runs"), t(s, d, "mapping_entries")).drop("version")
 SQL["p4_found"] = """
 WITH last_states AS (
   SELECT path, arg_max(struct_pack(o := byte_offset, m := mtime, h := content_hash, i := inode), (last_processed, byte_offset, run_id)) AS s
@@ -159,8 +158,17 @@ SQL["source_stats"] = _LINES + " SELECT source, count(*) AS lines_in, count(*) F
 QUERIES["why_dropped"] = lambda s, d: engine.why_dropped(_pipeline(_fil("the"), _fil("offset", "drop_line")), lines(s, d))
 SQL["why_dropped"] = _LINES + " SELECT source, line_no, value AS orig, CASE WHEN NOT contains(value, 'the') THEN 0 ELSE 1 END::INT AS dropped_by FROM lines WHERE NOT contains(value, 'the') OR contains(value, 'offset')"
 QUERIES["inspect_matches"] = lambda s, d: engine.inspect(_pipeline(_sub(r"release (\d+)", "r$1")), lines(s, d))
-QUERIES["discovery_report"] = lambda s, d: discovery.report(lines(s, d)).select("name", "matches", "lines")
-SQL["discovery_report"] = _LINES + " SELECT name, sum(n)::BIGINT AS matches, count(*) FILTER (n > 0) AS lines FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, len(regexp_extract_all(value, '{BUILTIN[n]}')) AS n FROM lines" for n in discovery.DETECTORS) + ") GROUP BY name HAVING sum(n) > 0"
+QUERIES["discovery_report"] = lambda s, d: discovery.report(lines(s, d), with_examples=False)
+_DETECTED = r"""SELECT 'email' AS name, regexp_extract_all(value, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS f FROM lines
+UNION ALL SELECT 'ipv4', regexp_extract_all(value, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b') FROM lines UNION ALL SELECT 'phone_us', regexp_extract_all(value, '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b') FROM lines
+UNION ALL SELECT 'date_iso', regexp_extract_all(value, '\b\d{4}-\d{2}-\d{2}\b') FROM lines UNION ALL SELECT 'date_us', regexp_extract_all(value, '\b\d{1,2}/\d{1,2}/\d{4}\b') FROM lines
+UNION ALL SELECT 'time_24h', regexp_extract_all(value, '\b\d{1,2}:\d{2}(?::\d{2})?\b') FROM lines UNION ALL SELECT 'uuid', regexp_extract_all(value, '\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b') FROM lines
+UNION ALL SELECT 'hex_id', regexp_extract_all(value, '\b[0-9a-fA-F]{8,}\b') FROM lines UNION ALL SELECT 'url', regexp_extract_all(value, 'https?://[^\s<>"'']+') FROM lines UNION ALL SELECT 'ssn', regexp_extract_all(value, '\b\d{3}-\d{2}-\d{4}\b') FROM lines
+UNION ALL SELECT 'credit_card', regexp_extract_all(value, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b') FROM lines UNION ALL SELECT 'api_key', regexp_extract_all(value, '\b[A-Za-z0-9_-]{20,}\b') FROM lines
+UNION ALL SELECT 'base64_blob', regexp_extract_all(value, '\b[A-Za-z0-9+/]{20,}={0,2}\b') FROM lines"""
+SQL["discovery_report"] = _LINES + f" SELECT name, sum(len(f))::BIGINT AS matches, count(*) FILTER (len(f) > 0) AS lines FROM ({_DETECTED}) GROUP BY name HAVING sum(len(f)) > 0"
+QUERIES["discovery_examples"] = lambda s, d: discovery.report(lines(s, d)).select("name", "examples")
+SQL["discovery_examples"] = _LINES + f" SELECT name, list_sort(list_distinct(flatten(list(f))))[1:3] AS examples FROM ({_DETECTED}) GROUP BY name HAVING sum(len(f)) > 0"
 _RULES = [crossfile.Rule("limits", r"limit to \d+", "*", "*", "offset"), crossfile.Rule("hosts", r"db-\d\d", "*", "*", "segment")]
 
 
@@ -208,3 +216,5 @@ QUERIES["commit_messages"] = lambda s, d: discovery.commits(t(s, d, "documents")
 # --- log entries beside what the drivers compare -----------------------------------------------------------------------
 QUERIES["p1_levels"] = lambda s, d: log_entries.find_entries(t(s, d, "line_matches"), t(s, d, "source_files")).groupBy("component", "level").agg(F.count("*").alias("entries"))
 QUERIES["p1_entries"] = lambda s, d: log_entries.full_entries(t(s, d, "line_matches"), t(s, d, "source_files"))
+
+from . import queries_functions, queries_language  # noqa: E402, F401 - they add theirs

@@ -11,6 +11,7 @@ from typing import Any
 
 from . import library as lib
 from .functions.regex import Pattern
+from .functions.transforms import known as known_transform
 
 TYPES = ("filter", "substitute", "extract", "validate", "transform", "block")
 
@@ -257,6 +258,12 @@ def problems(p: Pipeline) -> list[str]:
             out.append(f"{where}: filter without action")
         if s.type == "transform" and s.transform is None:
             out.append(f"{where}: transform without action")
+        if s.type == "transform" and s.transform is not None and not known_transform(s.transform):
+            out.append(f"{where}: no transform or plugin {s.transform.get('name', s.transform.get('type'))!r}")
+        if p.settings.strict_mode and s.backtracking(p.settings) and (why := risky(s.pattern)):
+            out.append(f"{where}: {why[0]}, which strict_mode forbids")
+        if len(s.pattern.encode()) > p.settings.regex_size_limit:
+            out.append(f"{where}: pattern longer than regex_size_limit")
         if s.type == "block" and (s.mode or p.settings.mode) != "line":
             out.append(f"{where}: block steps are line by line")
         if lib.REFERENCE.search(s.pattern) and not set(lib.REFERENCE.findall(s.pattern)) <= lib.RESERVED:
@@ -265,6 +272,9 @@ def problems(p: Pipeline) -> list[str]:
             out.append(f"{where}: unknown flags {sorted(s.flags)}")
         if s.enabled and s.type == "filter" and isinstance(s.action, str):
             seen.setdefault(s.pattern, set()).add("keep" if s.action.startswith("keep") else "drop" if s.action.startswith("drop") else "other")
+    other = any((s.mode or p.settings.mode) != "line" or s.scope or s.exclude_scopes for s in p.steps if s.enabled)
+    if other and p.settings.max_line_length and p.settings.max_line_action not in ("truncate", "error"):
+        out.append("max_line_action skip passes lines by all steps, which steps on whole texts don't allow; use truncate or error")
     return out + [f"contradictory filters on {k!r}" for k, v in seen.items() if {"keep", "drop"} <= v]
 
 
@@ -310,6 +320,8 @@ def lint(p: Pipeline) -> list[str]:
             out.append(f"step {i}: can match nothing")
         if s.replacement and (m := re.search(r"\$(\d+[A-Za-z_]\w*)", s.replacement)) and not s.backtracking(p.settings):
             out.append(f"step {i}: ${m[1]} names a group; write ${{{re.match(r'[0-9]+', m[1])[0]}}}")
+    if p.settings.timeout_ms:
+        out.append("settings.timeout_ms has no effect; shell commands end after shell_timeout_secs")
     return out
 
 
@@ -331,17 +343,21 @@ def diff(a: Pipeline, b: Pipeline) -> list[str]:
     return out + [f"+ include {x}" for x in b.patterns_include if x not in a.patterns_include]
 
 
-# What the presets keep.
+# What the presets keep, and their other names.
 PRESETS = {
-    "cargo": ["error", "warning", r"test result", "panicked", "FAILED"],
-    "pytest": ["FAILED", "ERROR", "passed", "failed", r"assert"],
-    "npm": ["ERR!", "WARN", "error", r"added \d+", "vulnerabilit"],
-    "docker": ["ERROR", r"Step \d+", "Successfully", "denied"],
-    "logs": ["ERROR", "FATAL", "WARN", "Exception", "Traceback"],
-    "git": [r"^[+-]", "conflict", "CONFLICT", "fatal:"],
-    "ci": ["error", "fail", "FAIL", "warning", r"exit code"],
+    "cargo": [r"^error", r"^warning:", r"^\s+-->", r"^\s+\|", r"^\s+=", r"^\s+\d+\s*\|"],
+    "pytest": [r"FAILED", r"ERROR", r"^E\s+", r"^>", r'^\s+File "', r"Traceback", r"AssertionError", r"^=+.*(FAILURES|ERRORS|short test summary)", r"\d+ (failed|passed|error)"],
+    "npm": [r"npm ERR!", r"^Error:", r"^error:", r"npm WARN", r"^Warning:", r"^\s+at ", r"FAILED"],
+    "docker": [r"^error", r"^ERROR", r"FAILED", r"failed to", r"cannot", r"unable to", r"^Step \d+/\d+", r"returned a non-zero code", r"exit code", r"exited with"],
+    "logs": [r"ERROR", r"FATAL", r"CRITICAL", r"PANIC", r"WARN", r"WARNING", r"Exception", r"Traceback", r"Stack trace"],
+    "git": [r"^error:", r"^fatal:", r"^CONFLICT", r"^warning:", r"^hint:", r"^\+\+\+", r"^---", r"^@@", r"^diff --git", r"^modified:", r"^deleted:", r"^new file:", r"^renamed:"],
+    "ci": [r"FAILED", r"FAILURE", r"ERROR", r"Build failed", r"timeout", r"timed out", r"exceeded", r"exit code", r"exited with", r"returned \d+", r"^(Step|Stage|Job|Pipeline).*:"],
 }
+PRESET_ALIASES = {"rust": "cargo", "python": "pytest", "node": "npm", "log": "logs"}
 
 
 def preset(name: str) -> Pipeline:
+    name = PRESET_ALIASES.get(name.lower(), name.lower())
+    if name not in PRESETS:
+        raise SpecError(f"no preset {name!r}; there are {', '.join(PRESETS)}")
     return Pipeline(name, steps=(step_of({"keep": PRESETS[name]}, "filter"),))

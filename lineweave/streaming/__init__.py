@@ -41,6 +41,33 @@ def summary(p: Pipeline, processed: DataFrame) -> DataFrame:
     return processed.agg(F.count("*").alias("lines"), F.count_if(changed).alias("matched"), *[F.count_if(changed & hits(s.compiled(s.pattern, p.settings), F.col("value"))).alias(s.description or f"step_{i}") for i, s in p.active])
 
 
+def rates(p: Pipeline, processed: DataFrame) -> DataFrame:
+    """(lines, matched, match_rate) of processed lines, the rate in percent."""
+    changed = ~F.col("value").eqNullSafe(F.col("out"))
+    g = processed.agg(F.count("*").alias("lines"), F.count_if(changed).alias("matched"))
+    return g.withColumn("match_rate", F.when(F.col("lines") > 0, 100.0 * F.col("matched") / F.col("lines")).otherwise(0.0))
+
+
+def throughput(query) -> dict:  # noqa: ANN001
+    """Lines so far and lines per second of a running query, from its progress reports."""
+    done = query.recentProgress
+    seconds = sum(x["durationMs"].get("triggerExecution", 0) for x in done) / 1000
+    lines = sum(x["numInputRows"] for x in done)
+    return {"batches": len(done), "lines": lines, "lines_per_second": lines / seconds if seconds else 0.0}
+
+
+def finish(query, seconds: float = 60.0) -> bool:  # noqa: ANN001
+    """Stops a query after the batch it is in; whether that ended in time. What comes later is read by the next start from the checkpoint."""
+    import time
+
+    end = time.time() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.time() < end:
+        time.sleep(0.05)
+    done = not (query.isActive and query.status["isTriggerActive"])
+    query.stop()
+    return done
+
+
 def start(p: Pipeline, source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds", once: bool = False):  # noqa: ANN201
     """Runs a pipeline over a streaming source with a column ``value``; ``sink(batch, id)`` gets (value, out) of each batch.
 

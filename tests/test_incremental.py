@@ -57,3 +57,36 @@ def test_ledger(spark, tmp_path):
 def test_key_is_stable(spark):
     df = spark.range(1).select(F.lit("file").alias("kind"), F.col("id").alias("record_id"))
     assert df.select(inc.item_key("kind", "record_id")).first() == df.select(inc.item_key("kind", "record_id")).first()
+
+
+def test_a_file_replaced_twice_is_read_twice(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "p", "succeeded", None, 0)], RUN)
+    seen = spark.createDataFrame([(1, "a", 10, 10, 5, "h", 7, 1)], CHECK)
+    none = spark.createDataFrame([], MAP)
+    ledger = inc.Ledger(spark, f"file://{tmp_path}/ledger")
+    for inode in (8, 9, 9):
+        ledger.enqueue(inc.work_items(spark.createDataFrame([(1, "a", 10, 5, "h", inode, 0)], FILE), seen, runs, none))
+        token, mine = ledger.lease("w", 10, now=inode)
+        ledger.complete(mine, token, now=inode)
+    assert [r.state for r in ledger.states(now=50).collect()] == [inc.DONE] * 2
+
+
+def test_ledger_survives_what_happens_in_between(spark, tmp_path):
+    at = f"{tmp_path}/ledger"
+    ledger = inc.Ledger(spark, f"file://{at}")
+    ledger.enqueue(spark.createDataFrame([("file", k, 0, "v") for k in (1, 2)], "kind string, record_id long, from_offset long, version string"))
+    old, mine = ledger.lease("a", 10, now=0)
+    # A completion that was staged and never promoted counts for nothing.
+    promote, ledger._promote = ledger._promote, lambda part: None
+    assert ledger.complete(mine, old, now=1) == 0
+    ledger._promote = promote
+    assert {r.state for r in ledger.states(now=2).collect()} == {inc.LEASED}
+    # A lease that is given between a completion's check and its promotion makes the completion stale only if its number is smaller.
+    number = ledger._next_number()
+    new, again = ledger.lease("b", 10, now=20)
+    assert new == number + 1 and again.count() == 2
+    stale = mine.filter("record_id = 1").select("key", F.lit(old).cast("long").alias("token"), F.lit(new + 1).cast("long").alias("number"), F.lit(21.0).alias("at"))
+    early = mine.filter("record_id = 2").select("key", F.lit(old).cast("long").alias("token"), F.lit(number).cast("long").alias("number"), F.lit(21.0).alias("at"))
+    ledger._append("done", stale.unionByName(early))
+    assert sorted((r.record_id, r.state) for r in ledger.states(now=21).collect()) == [(1, inc.LEASED), (2, inc.DONE)]
+    assert [ledger._next_number() for _ in range(3)] == [new + 1, new + 2, new + 3]

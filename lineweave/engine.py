@@ -131,7 +131,7 @@ class _Run:
         if found:
             raise SpecError("; ".join(found))
         self.p, self.settings, self.trace, self.stats = p, p.settings, trace or stats, stats
-        self.lines, self.counting = lines, False
+        self.lines, self.counting = lines, frozenset()
         value = F.regexp_replace("value", ANSI, "") if self.settings.strip_ansi else F.col("value")
         self.original = lines.select("source", F.col("line_no").cast("long").alias("line_no"), "value").filter("value is not null")
         self.df = self.original.select("source", "line_no", F.col("value").alias("orig"), value.alias("value"))
@@ -263,11 +263,11 @@ class _Run:
 
             new = F.pandas_udf(number, "string")(v, seq, total)
             self.measure(i, n, new != v)
-            if self.counting:
-                self.df = self.df.withColumn(f"_k{i}", F.when(self.alive(), n.cast("long")).otherwise(0))
             self.put(new)
             self.df = self.df.drop("_last")
             return
+        if i in self.counting:
+            self.df = self.df.withColumn(f"_k{i}", F.when(self.alive(), self.replacements(s, p, v)).otherwise(0).cast("long"))
         new = replaced(p, v, text, s.is_global, s.backtracking(self.settings))
         if self.stats:
             self.measure(i, self.replacements(s, p, v), new != v)
@@ -278,16 +278,16 @@ class _Run:
         the lines before, and of the steps before this one on the line. What later steps replace is found by a run of its
         own, in which every number is 0; it raises where that isn't what they replace in the end."""
         each = [k for k, s in self.p.active if numbered(s)]
-        if len(each) == 1 or self.counting:
+        if len(each) == 1:
             return F.col("_last") - n
         if any((s.mode or self.settings.mode) != "line" or s.scope or s.exclude_scopes for _, s in self.p.active):
             raise SpecError("${count} over several steps needs line mode")
         if "_before" not in self.df.columns:
             from dataclasses import replace
 
-            plain = replace(self.p, steps=tuple(replace(s, replacement=s.replacement.replace("${count}", "0")) if numbered(s) else s for s in self.p.steps))
+            plain = replace(self.p, steps=tuple(replace(s, replacement=s.replacement.replace("${count}", "0").replace("${seq}", "0")) if numbered(s) else s for s in self.p.steps))
             shadow = _Run(plain, self.lines, True, False)
-            shadow.counting = True
+            shadow.counting = frozenset(each)
             found = shadow.run().traced
             found = found.withColumns({f"_k{k}": F.coalesce(f"_k{k}", F.lit(0)) for k in each})
             sums = ordered.prefix_sum(found, sum((F.col(f"_k{k}") for k in each), F.lit(0)), "_all")

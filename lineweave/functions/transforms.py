@@ -14,6 +14,11 @@ M64 = (1 << 64) - 1
 
 # --- as column expressions, for patterns that take the whole line -------------------------------------------------------
 
+def _padded(c: Column) -> Column:
+    """Base64 without its padding, padded again; a lone last character stands for the upper bits of a byte."""
+    return F.concat(c, F.element_at(F.array(F.lit(""), F.lit("A=="), F.lit("=="), F.lit("=")), (F.char_length(c) % 4 + 1).cast("int")))
+
+
 WHOLE = {".*", "^.*$", ".+", "^.+$", "^(.*)$", "(.*)"}
 COLUMNS: dict[str, Callable[[Column], Column]] = {
     "uppercase": F.upper,
@@ -22,7 +27,7 @@ COLUMNS: dict[str, Callable[[Column], Column]] = {
     "reverse": F.reverse,
     "remove_whitespace": lambda c: F.regexp_replace(c, r"(?U)\s", ""),
     "base64_encode": lambda c: F.replace(F.base64(c.cast("binary")), F.lit("\r\n"), F.lit("")),
-    "base64_decode": lambda c: F.coalesce(F.try_validate_utf8(F.try_to_binary(c, F.lit("base64")).cast("string")), c),
+    "base64_decode": lambda c: F.coalesce(F.when(c.rlike(r"\A[A-Za-z0-9+/]*=*\z"), F.try_validate_utf8(F.try_to_binary(_padded(F.regexp_replace(c, r"=+\z", "")), F.lit("base64")).cast("string"))), c),
     "normalize_whitespace": lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " ")),
     "deduplicate": lambda c: F.array_join(F.array_distinct(F.split(c, "\n")), "\n"),
     "sort_chars": lambda c: F.array_join(F.array_sort(F.split(c, "")), ""),
@@ -77,8 +82,10 @@ def title_case(s: str) -> str:
 
 
 def base64_decode(s: str) -> str:
+    """The text itself if it holds anything but the alphabet, or what it stands for isn't UTF-8; padding may be missing."""
+    bare = s.rstrip("=")
     try:
-        return base64.b64decode(s, validate=True).decode()
+        return base64.b64decode(bare + ("", "A==", "==", "=")[len(bare) % 4], validate=True).decode()
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return s
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import _LINES, _add, _fil, _pipeline
+from .queries import _add, _fil, _pipeline
 
 _KEY = {"key": "2b7e151628aed2a6abf7158809cf4f3c", "tweak": "39383736353433323130", "radix": 10}
 
@@ -41,8 +41,8 @@ _value("transform_base64_invalid", [_step(".*", "base64_decode"), _fil("[^A-Za-z
 _value("transform_url_encode", [_step(".+", "url_encode")], r"array_to_string(list_transform(string_split(value, ''), lambda c: CASE WHEN c = '' OR regexp_full_match(c, '[A-Za-z0-9_.~-]') THEN c ELSE '%' || format('{:02X}', unicode(c)) END), '')")
 _value("transform_url_decode", [_only_ascii, _step(".+", "url_encode"), _step(".+", "url_decode")], "value", _ASCII)
 _add(
-    "transform_deduplicate", _pipeline({"type": "extract", "pattern": r"\b[a-z]{3,}\b", "replacement": "\n"}, _step("(?s).+", "deduplicate")),
-    r", w AS (SELECT source, line_no, regexp_extract_all(value, '\b[a-z]{3,}\b') AS a FROM lines) SELECT source, line_no, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), chr(10)) AS value FROM w WHERE len(a) > 0",
+    "transform_deduplicate", _pipeline(_only_ascii, {"type": "extract", "pattern": r"\b[a-z]{3,}\b", "replacement": "\n"}, _step("(?s).+", "deduplicate")),
+    r", w AS (SELECT source, line_no, regexp_extract_all(value, '\b[a-z]{3,}\b') AS a FROM lines WHERE regexp_full_match(value, '[\x00-\x7F]*')) SELECT source, line_no, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), chr(10)) AS value FROM w WHERE len(a) > 0",
 )
 _value("transform_sort_chars", [_step(".*", "sort_chars")], "array_to_string(list_sort(string_split(value, '')), '')")
 _value("transform_fpe_round_trip", [_step(r"\d{4,}", {"type": "fpe_encrypt", **_KEY}), _step(r"\d{4,}", {"type": "fpe_decrypt", **_KEY})], "value")
@@ -79,7 +79,6 @@ _value("plugin_increment", [_number, _step(".+", _plugin("increment", 7))], f"({
 _value("plugin_decrement", [_number, _step(".+", _plugin("decrement"))], f"({_N} - 1)::VARCHAR", _HAS_N)
 _value("plugin_format_number", [_number, _step(".+", _plugin("format_number"))], f"format('{{:,}}', {_N})", _HAS_N)
 _add(
-    "plugin_transpose", _pipeline({"type": "extract", "pattern": r"\b[A-G]\b", "first_only": True}, _step(".+", _plugin("transpose", 2))),
-    r", x AS (SELECT source, line_no, regexp_extract(value, '\b[A-G]\b') AS n FROM lines WHERE regexp_matches(value, '\b[A-G]\b')) SELECT source, line_no, MAP {'A': 'B', 'B': 'C#', 'C': 'D', 'D': 'E', 'E': 'F#', 'F': 'G', 'G': 'A'}[n] AS value FROM x",
+    "plugin_transpose", _pipeline(_only_ascii, {"type": "extract", "pattern": r"\b[A-G]\b", "first_only": True}, _step(".+", _plugin("transpose", 2))),
+    r", x AS (SELECT source, line_no, regexp_extract(value, '\b[A-G]\b') AS n FROM lines WHERE regexp_full_match(value, '[\x00-\x7F]*') AND regexp_matches(value, '\b[A-G]\b')) SELECT source, line_no, MAP {'A': 'B', 'B': 'C#', 'C': 'D', 'D': 'E', 'E': 'F#', 'F': 'G', 'G': 'A'}[n] AS value FROM x",
 )
-__all__ = ["_LINES"]

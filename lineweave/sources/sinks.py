@@ -80,6 +80,48 @@ def jsonl(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def file_results(results: DataFrame) -> DataFrame:
+    """A JSON line for each file result, nulls written out, and one with their totals."""
+    each = results.select(F.to_json(F.struct("path", "matches_found", "lines_processed", "modified", "error"), {"ignoreNullFields": "false"}).alias("value"))
+    sum_of = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    total = results.agg(F.count("*").alias("files_processed"), F.count_if(F.col("matches_found") > 0).alias("files_matched"), F.count_if("modified").alias("files_modified"), sum_of("matches_found").alias("total_matches"), sum_of("lines_processed").alias("total_lines"))
+    return each.unionByName(total.select(F.to_json(F.struct("*")).alias("value")))
+
+
+# The kinds of envelopes.
+MODES = ("processing", "count", "multi_file", "files_with_matches", "files_without_matches", "performance", "error", "verify", "explain")
+
+
+def processing(stats: dict, errors: list[dict] = ()) -> str:
+    """The envelope of a run, from the row of ``engine.pipeline_stats``."""
+    return envelope("processing", {k: stats[k] for k in ("lines_processed", "lines_output", "matches_found", "transformations_applied", "success_rate")} | {"errors": list(errors)})
+
+
+def count(stats: dict) -> str:
+    return envelope("count", {"matches": stats["matches_found"], "lines_processed": stats["lines_processed"]})
+
+
+def multi_file(totals: dict, files: list[dict] = (), errors: list[str] = ()) -> str:
+    """The envelope of a run over files, from the row of ``engine.totals`` and rows of file results."""
+    return envelope("multi_file", {**totals, "files": list(files), "errors": list(errors)})
+
+
+def file_list(paths: list[str], mode: str) -> str:
+    return envelope(mode, {"files": list(paths), "count": len(paths)})
+
+
+def error(kind: str, message: str, code: int) -> str:
+    return envelope("error", {"error_type": kind, "message": message, "exit_code": code})
+
+
+def verify(status: str, stats: dict) -> str:
+    return envelope("verify", {"status": status, "matches": stats["matches_found"], "transformations": stats["transformations_applied"]})
+
+
+def explained(steps: list[str]) -> str:
+    return envelope("explain", {"steps": steps})
+
+
 def annotations(lines: DataFrame, level: str = "warning") -> DataFrame:
     """``::level file=...,line=N::text`` for each line."""
     return lines.select("source", "line_no", F.format_string(f"::{level} file=%s,line=%d::%s", "source", "line_no", "value").alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 from .timestamps import match_timestamp
 
@@ -38,16 +39,6 @@ _WORDS = sorted((w for w in LEVELS if len(w) > 1), key=len, reverse=True)
 _LV = rf"(?:(?i:{'|'.join(_WORDS)})|[TDINWEFCV])(?![\w])"
 _C = r"[^\W\d][\w.$/-]*(?<![.])"
 _ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_REST = re.compile(
-    rf"\s*\[(?P<l1>{_LV})\s*\]\s+(?P<c1>{_C})(?:\[\d+\])?: ?"
-    rf"|\s+(?P<c2>{_C})\.(?P<l2>{_LV}): ?"
-    rf"|\s+- (?P<c3>{_C}) - (?P<l3>{_LV}) - ?"
-    rf"|\s*\|\s*(?P<l4>{_LV})\s*\|\s*(?P<c4>{_C})\s*\| ?"
-    rf"|\s+(?P<l5>{_LV})\s+\[[^\]]*\]\s+(?P<c5>{_C})\s+-(?: |$)"
-    rf"|\s+(?P<c6>{_C})\s+(?P<l6>{_LV})(?:\s|$)"
-    rf"|\s+(?P<l7>{_LV})\s+(?P<c7>{_C}): ?"
-    rf"|\s+[\w.-]+ (?P<c8>{_C})(?:\[\d+\])?: ?"
-)
 _SYSLOG_5424 = re.compile(rf" \S+ (?P<c>{_C}|-) \S+ \S+ (?:-|\[(?:[^\]\\]|\\.)*\])+ ?")
 _SYSLOG_3164 = re.compile(rf" \S+ (?P<c>{_C})(?:\[\d+\])?: ?")
 _PRI = re.compile(r"<(\d{1,3})>(?:\d )?")
@@ -123,11 +114,7 @@ def _stamped(t: str) -> Header:
         if t[end : end + 1] != "]":
             return _FALSE
         end += 1
-    if not (m := _REST.match(t, end)):
-        return START, None, None, ts[1], ts[2], end
-    k = m.lastgroup[1]
-    level = m[f"l{k}"] if k != "8" else ""
-    return START, LEVELS[level.lower()] if level else "", m[f"c{k}"], ts[1], ts[2], m.end()
+    return START, None, None, ts[1], ts[2], end
 
 
 def _glog(t: str) -> Header:
@@ -159,7 +146,7 @@ def _access(t: str) -> Header:
     return START, "", "", ts[1], ts[2], ts[0] + 1
 
 
-#: The fallback rules, in the order in which a line that no template has settled tries them.
+#: The rules, in the order in which a line tries those for its first character.
 RULES = (_json, _syslog, _stamped, _glog, _logfmt, _level_first, _access)
 
 
@@ -186,33 +173,108 @@ def clean(text: str) -> str:
     return text.lstrip("\ufeff").rstrip("\r\n")
 
 
-_MASK = bytes.maketrans(b"123456789", b"000000000")
+#: So many tokens behind the time are looked at for level and component.
+HEAD = 5
+_TOKEN = re.compile(r"\[[^\]]*\][^\s|]*|\||[^\s|]+")
+_NAME = re.compile(rf"({_C})(?:\[\d+\])?:?")
+_ROUND = "[](){}<>:,; "
 
 
-def words_of(t: str) -> list[str]:
-    """The words of a line with every digit as 0; long words of letters mixed with digits (hashes, ids) as ``*``."""
-    return ["*" if len(w) > 30 and "0" in w and w.isalnum() else w for w in t.encode("utf-8", "replace").translate(_MASK).decode().split()]
+def head_of(t: str, at: int) -> list[str]:
+    """The first tokens from ``at`` on; bars and what stands in brackets are tokens of their own."""
+    out = []
+    for m in _TOKEN.finditer(t, at):
+        out.append(m[0])
+        if len(out) == HEAD:
+            break
+    return out
 
 
-#: Words this far into a line share one position, so that the frequent pairs are bounded.
-LAST_POSITION = 63
+def _is_level(bare: str) -> bool:
+    return bare.lower() in LEVELS and (len(bare) > 1 or bare in "TDINWEFCV")
 
 
-class HeaderParser:
-    """Parses lines by the template they belong to.
+#: The forms a token has in a template's skeleton: separators, level words (L), names (N) and other tokens, with what stands around them.
+FORMS = ("|", "-", "[L]", "L:", "L", "N.L:", "N:", "[*]", "N", "*")
+
+
+@lru_cache(1 << 17)
+def form_of(token: str) -> str:
+    if token in ("|", "-"):
+        return token
+    if _is_level(token.strip(_ROUND)):
+        return "[L]" if token[0] == "[" else "L:" if token[-1] == ":" else "L"
+    if token[-1] == ":":
+        name, _, last = token[:-1].rpartition(".")
+        if name and _is_level(last) and re.fullmatch(_C, name):
+            return "N.L:"
+        return "N:" if _NAME.fullmatch(token) else "*"
+    return "[*]" if token[0] == "[" else "N" if _NAME.fullmatch(token) else "*"
+
+
+def skeleton_of(head: list[str]) -> str:
+    """The forms of a head's tokens up to where its message begins: behind a name with a colon, a level behind a name, a name
+    behind a level, or at the first token that is no name; a separator there belongs to the head."""
+    out: list[str] = []
+    for f in map(form_of, head):
+        if out and (out[-1] in ("N:", "N.L:", "L:") or (out[-1] in ("L", "[L]") and "N" in out or out[-1] == "N" and ("L" in out or "[L]" in out)) and f not in ("|", "-") or out[-1] == "*"):
+            break
+        if out and out[-1] in ("|", "-") and len(out) > 1 and (out[-2] in ("L", "[L]") and "N" in out or out[-2] == "N" and ("L" in out or "[L]" in out)):
+            break
+        out.append(f)
+    return " ".join(out)
 
-    frequent: the (position, word) pairs mined over the whole table. A line's template is its words with the infrequent
-    ones left out; the rule that opened the first line of a template is tried first on the others. Lines without a
-    frequent word (outliers) and lines whose template's rule fails go through the fallback rules.
+
+def slots_of(skeleton: str, constant: list[float], least: float = 0.2) -> tuple[int, int]:
+    """Which tokens of a template's lines are the level and the component (-1: none).
+
+    constant: for each token the share of the skeleton's lines in which it is a frequent word. A name counts only where it is
+    a constant in ``least`` of the lines; behind a name with a colon the message begins.
     """
+    forms = skeleton.split(" ")
+    named = lambda k: k if constant[k] >= least else -1
+    for i, f in enumerate(forms):
+        if f == "N.L:":
+            return i, i
+        if "L" in f:
+            before = [j for j in range(i) if forms[j] == "N"]
+            if before:  # a level word behind text that is no constant is part of a message
+                return (i, before[-1]) if named(before[-1]) >= 0 else (-1, -1)
+            k = i + 1
+            while f != "L:" and k < len(forms) and forms[k] in ("-", "|", "[*]"):
+                k += 1
+            if f != "L:" and k < len(forms) and (forms[k] == "N:" or forms[k] == "N" and forms[k + 1 : k + 2] in (["-"], ["|"])):
+                return i, named(k)
+            return i, -1
+        if f == "N:":
+            return -1, named(i)
+    return -1, -1
+
+
+def by_rules(head: list[str]) -> tuple[str, str]:
+    """(level, component) of a head that belongs to no template: its first level word, and a name with a colon."""
+    level = name = ""
+    for token in head:
+        f = form_of(token)
+        if f == "N.L:":
+            name, _, level = token[:-1].rpartition(".")
+            return LEVELS[level.lower()], name
+        if "L" in f:
+            level = level or LEVELS[token.strip(_ROUND).lower()]
+        elif f == "N:":
+            return level, _NAME.fullmatch(token)[1]
+        if f in ("*", "L:"):
+            break
+    return level, ""
 
-    def __init__(self, frequent: set[tuple[int, str]], most: int = 200_000) -> None:
-        self.frequent, self.most = frequent, most
-        self.rules: dict[tuple, int] = {}
 
-    def template(self, words: list[str]) -> tuple:
-        f = self.frequent
-        return tuple([(i, w) for i, w in enumerate(words) if (min(i, LAST_POSITION), w) in f])
+class HeaderParser:
+    """Parses lines one by one.
+
+    Records that name or number their fields (JSON, logfmt, syslog priorities and the like) are read by rules. Of a line that
+    begins with a time, ``parse`` gives only the time, and where its head begins: what the head's tokens are is decided by
+    the template the line belongs to (``log_entries``); ``parse_alone`` decides by the fallback rules.
+    """
 
     def parse(self, text: str) -> Header:
         t = clean(text)
@@ -228,38 +290,37 @@ class HeaderParser:
             return (OTHER_BRACE, None, None, 0, None, 0) if t.endswith("{") or t.strip() in ("}", "},") else _FALSE
         if c == "}" or t.endswith("{") and t != "{":
             return OTHER_BRACE, None, None, 0, None, 0
-        first = _first_rules(c)
-        if len(first) < 2:
-            return self._completed(RULES[first[0]](t), t, None) if first else _FALSE
-        words = words_of(t)
-        key = self.template(words)
-        known = self.rules.get(key) if key else None
-        if known in first and (got := RULES[known](t))[0]:
-            return self._completed(got, t, words)
-        for i in first:
+        for i in _first_rules(c):
             if (got := RULES[i](t))[0]:
-                if key and len(self.rules) < self.most:
-                    self.rules[key] = i
-                return self._completed(got, t, words)
+                return got
         return _FALSE
 
-    def _completed(self, got: Header, t: str, words: list[str] | None) -> Header:
-        """For a layout that no rule knows: the level is the first level word behind the time, the component the first
-        frequent word there that can be a name."""
+    def parse_alone(self, text: str) -> Header:
+        got = self.parse(text)
         if got[0] != START or got[1] is not None:
             return got
-        level = name = ""
-        done = len(t[: got[5]].split()) if not t[got[5] : got[5] + 1].strip() else len(t[: got[5]].split()) - 1
-        for i, w in enumerate((words or words_of(t))[done : done + 6], done):
-            bare = w.strip("[](){}<>|:-,;")
-            if not level and bare.lower() in LEVELS and (len(bare) > 1 or bare.isupper()):
-                level = LEVELS[bare.lower()]
-            elif not name and level and (min(i, LAST_POSITION), w) in self.frequent and re.fullmatch(_C, bare):
-                name = bare
-        return got[0], level, name, got[3], got[4], got[5]
-
-
-def message_of(lines: list[str]) -> str:
+        return got[0], *by_rules(head_of(clean(text), got[5])), *got[3:]
+
+
+def _message_start(t: str, at: int, level: str, component: str) -> int:
+    """Where the message of a line begins whose head holds a level and a component."""
+    tokens, last = [], -1
+    for m in _TOKEN.finditer(t, at):
+        tokens.append(m)
+        if len(tokens) == HEAD + 1:
+            break
+    for i, m in enumerate(tokens[:HEAD]):
+        form, name = form_of(m[0]), _NAME.fullmatch(m[0])
+        if component and (name and name[1] == component or form == "N.L:" and m[0].startswith(component + ".")) or level and form in ("[L]", "L:", "L") and last < 0:
+            last = i
+            if form in ("N:", "N.L:"):
+                break
+    while 0 <= last and last + 1 < len(tokens) and tokens[last + 1][0] in ("-", "|"):
+        last += 1
+    return tokens[last].end() if last >= 0 else at
+
+
+def message_of(lines: list[str], level: str | None = None, component: str | None = None) -> str:
     """The message of an entry's lines: what follows the header, or the message field of a structured record, and the lines after it."""
     if not lines:
         return ""
@@ -278,7 +339,10 @@ def message_of(lines: list[str]) -> str:
     elif _LOGFMT.match(t):
         head = _message([(k, v[1:-1].replace('\\"', '"') if v[:1] == '"' and len(v) > 1 else v) for k, v in _PAIRS.findall(t)])
     else:
-        head = t[HeaderParser(set()).parse(t)[5] :].strip()
+        got = HeaderParser().parse(t)
+        if level is None and got[0] == START and got[1] is None:
+            level, component = by_rules(head_of(t, got[5]))
+        head = t[_message_start(t, got[5], level, component) if got[1] is None and got[0] == START else got[5] :].strip()
         at = head.rfind(" @ ")
         if at >= 0 and (ts := match_timestamp(head, at + 3)) and ts[0] == len(head):
             head = head[:at]

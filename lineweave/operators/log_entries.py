@@ -1,10 +1,11 @@
 """Log lines into entries: mining of frequent position-words, header parsing, entry extents and instants.
 
 Stages
-1. ``mine_frequent``: one scan counts (position, word) pairs, combined per task before the shuffle. Only pairs above the
-   support threshold reach the driver; as a position holds at most ``1 / support`` frequent words, their number is at most
-   ``64 / support`` whatever the input.
-2. ``parse_lines``: one scan turns lines into small header rows; the texts themselves are never shuffled.
+1. ``parse_lines``: one scan turns lines into small header rows; the texts themselves are never shuffled. Of a line that begins
+   with a time it keeps the head, the few tokens behind the time.
+2. ``mine_templates``: frequent position-words. Counts of (position, word) over all heads, combined per task before the shuffle,
+   give the constants; a head's template is its skeleton with its constants, and which of its tokens are level and component
+   follows from them. ``with_fields`` assigns the tokens; heads without a template (outliers) go through fallback rules.
 3. ``entry_extents`` / ``entry_instants``: order within a file matters. Every file is split into runs of ``CHUNK`` line
    numbers, so a file that holds a third of all rows is spread over many tasks; what a chunk needs from those before it
    (last brace, next start, last instant) is carried over a table of one row per chunk.
@@ -15,25 +16,26 @@ Defined results: lines whose text is null, empty or blank, and rows with a null
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.headers import BRACE, EXTENT, LAST_POSITION, MEMBER, NONE, START, HeaderParser, clean, message_of, words_of
+from ..functions.headers import BRACE, EXTENT, HEAD, LEVELS, MEMBER, NONE, START, HeaderParser, by_rules, clean, head_of, message_of, skeleton_of, slots_of
 from ..functions.timestamps import with_local, with_utc
 from ..plans import cut
 
 CHUNK = 50_000
 SUPPORT = 0.0005
-_HELD = 200_000  # pairs a task holds before it passes them on
+#: Up to so many log files their paths are given to all tasks, so that lines of other files are left out before they are read;
+#: with more, the header rows are joined instead.
+FILES = 200_000
 
 _HEADER = pa.schema(
     [("path", pa.string()), ("line_number", pa.int64()), ("line_id", pa.int64()), ("what", pa.int8()), ("level", pa.string()), ("component", pa.string()), ("kind", pa.int8()), ("us", pa.int64()), ("own", pa.bool_())]
 )
-HEADER_DDL = "path string, line_number bigint, line_id bigint, what tinyint, level string, component string, kind tinyint, us bigint, own boolean"
+_HEADER_DDL = "path string, line_number bigint, line_id bigint, what tinyint, level string, component string, kind tinyint, us bigint, own boolean"
 
 
 def lines_of(line_matches: DataFrame) -> DataFrame:
@@ -43,50 +45,19 @@ def lines_of(line_matches: DataFrame) -> DataFrame:
     ).filter("path is not null and line_number is not null and text is not null")
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        rows = list(held.items())
-        held.clear()
-        return pa.RecordBatch.from_pydict({"at": pa.array([k[0] for k, _ in rows], pa.int32()), "word": pa.array([k[1] for k, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
-
-    lines = 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = words_of(clean(text))
-            lines += 1
-            if len(words) > LAST_POSITION:
-                held.update((min(i, LAST_POSITION), w) for i, w in enumerate(words))
-            else:
-                held.update(enumerate(words))
-        if len(held) > _HELD:
-            yield out()
-    held[(-1, "")] += lines
-    yield out()
-
-
-def mine_frequent(lines: DataFrame, support: float = SUPPORT) -> set[tuple[int, str]]:
-    """The (position, word) pairs in at least ``support`` of all lines; words as ``words_of`` gives them."""
-    pairs = cut(lines.select("text").mapInArrow(_count_pairs, "at int, word string, n bigint").groupBy("at", "word").agg(F.sum("n").alias("n")))
-    total = pairs.filter("at = -1").agg(F.sum("n")).first()[0] or 0
-    floor = max(total * support, 2)
-    return {(r.at, r.word) for r in pairs.filter((F.col("n") >= floor) & (F.col("at") >= 0)).select("at", "word").toLocalIterator()}
-
+def parse_lines(lines: DataFrame, heads: bool = True) -> DataFrame:
+    """A row for each line that opens an entry or holds a field or brace of one, and one for the last line of each file in each batch.
 
-def parse_lines(lines: DataFrame, frequent: set[tuple[int, str]]) -> DataFrame:
-    """A row for each line that opens an entry or holds a field or brace of one, and one for the last line of each file in each batch."""
-    spark = lines.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+    With ``heads`` also what stands behind the time of lines that begin with one: ``head``, its first tokens, and ``skeleton``, their forms.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = HeaderParser(shared.value)
+        parse = HeaderParser().parse
         for batch in batches:
             path, number, line_id, text, own = (batch.column(i) for i in range(5))
-            what, level, name, kind, us, keep = [], [], [], [], [], []
+            what, level, name, kind, us, keep, head, skeleton = [], [], [], [], [], [], [], []
             paths, numbers = path.to_pylist(), number.to_pylist()
             last: dict[str, tuple[int, int]] = {}
-            parse = parser.parse
             for i, t in enumerate(text.to_pylist()):
                 p, n = paths[i], numbers[i]
                 if p not in last or last[p][0] < n:
@@ -94,16 +65,67 @@ def parse_lines(lines: DataFrame, frequent: set[tuple[int, str]]) -> DataFrame:
                 if (got := parse(t))[0]:
                     keep.append(i)
                     what.append(got[0]), level.append(got[1]), name.append(got[2]), kind.append(got[3]), us.append(got[4])
+                    if heads:
+                        tokens = head_of(clean(t), got[5]) if got[0] == START and got[1] is None else None
+                        head.append(tokens), skeleton.append(None if tokens is None else skeleton_of(tokens))
             ends = set(last_i for _, last_i in last.values()).difference(keep)
             keep += ends
             n = len(ends)
             take = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [path.take(take), number.take(take), line_id.take(take), pa.array(what + [EXTENT] * n, pa.int8()), pa.array(level + [None] * n, pa.string()), pa.array(name + [None] * n, pa.string()), pa.array(kind + [0] * n, pa.int8()), pa.array(us + [None] * n, pa.int64()), own.take(take)],
-                schema=_HEADER,
-            )
+            cols = [path.take(take), number.take(take), line_id.take(take), pa.array(what + [EXTENT] * n, pa.int8()), pa.array(level + [None] * n, pa.string()), pa.array(name + [None] * n, pa.string()), pa.array(kind + [0] * n, pa.int8()), pa.array(us + [None] * n, pa.int64()), own.take(take)]
+            if heads:
+                cols += [pa.array(head + [None] * n, pa.list_(pa.string())), pa.array(skeleton + [None] * n, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, [*_HEADER.names, "head", "skeleton"][: len(cols)])
+
+    return lines.select("path", "line_number", "line_id", "text", "own").mapInArrow(run, _HEADER_DDL + (", head array<string>, skeleton string" if heads else ""))
+
+
+def _masked(c: Column) -> Column:
+    return F.regexp_replace(c, r"[0-9]+", "0")
 
-    return lines.select("path", "line_number", "line_id", "text", "own").mapInArrow(run, HEADER_DDL)
+
+def mine_templates(headers: DataFrame, support: float = SUPPORT) -> dict[str, tuple[int, int]]:
+    """skeleton -> (token that is the level, token that is the component), from the frequent words of the heads.
+
+    Counts of (position, word) say which words are constants (in ``support`` of all heads: at most 5 / support of them), and
+    counts of constants by position in each skeleton what the tokens are. There are at most (number of forms + 1) ** 5
+    skeletons; those of fewer heads than ``support`` form no template.
+    """
+    heads = headers.filter("skeleton is not null and skeleton <> ''")
+    pairs = heads.select(F.posexplode(F.transform("head", _masked)).alias("at", "word")).groupBy("at", "word").agg(F.count("*").alias("n"))
+    total = heads.count()
+    floor = max(total * support, 2)
+    words: dict[int, list[str]] = {}
+    for r in pairs.filter(F.col("n") >= floor).select("at", "word").collect():
+        words.setdefault(r["at"], []).append(r.word)
+    hit = lambda k: F.coalesce(_masked(F.get("head", F.lit(k))).isin(words[k]), F.lit(False)) if words.get(k) else F.lit(False)
+    votes = heads.groupBy("skeleton").agg(F.count("*").alias("n"), *[F.count_if(hit(k)).alias(f"c{k}") for k in range(HEAD)])
+    return {r.skeleton: slots_of(r.skeleton, [r[f"c{k}"] / r.n for k in range(HEAD)]) for r in votes.filter(F.col("n") >= floor).collect()}
+
+
+def with_fields(headers: DataFrame, templates: dict[str, tuple[int, int]]) -> DataFrame:
+    """Level and component of the lines with heads: by the slots of their templates, those of outliers by the fallback rules."""
+    known = headers.sparkSession.createDataFrame([(k, *v) for k, v in templates.items()], "skeleton string, _level int, _name int")
+    rows = headers.join(F.broadcast(known), "skeleton", "left")
+    fixed = [c for c in headers.columns if c not in ("level", "component", "head", "skeleton")]
+    level, name = F.get("head", "_level"), F.get("head", "_name")
+    words = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])
+    bare = F.lower(F.regexp_replace(F.regexp_replace(level, r"[\[\](){}<>:,; ]+$", ""), r"^(?:.*\.(?=[^.]+$)|[\[\](){}<>:,; ]+)", ""))
+    both = F.col("_level") == F.col("_name")
+    title = F.when(both, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(F.regexp_replace(name, r"(?:\[[0-9]+\])?:?$", ""))
+    has = F.col("skeleton").isNotNull()
+    settled = rows.filter(~has | F.col("_level").isNotNull()).select(
+        *fixed, F.when(has, F.coalesce(F.when(F.col("_level") >= 0, words[bare]), F.lit(""))).otherwise(F.col("level")).alias("level"), F.when(has, F.coalesce(F.when(F.col("_name") >= 0, title), F.lit(""))).otherwise(F.col("component")).alias("component")
+    )
+
+    def outliers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [by_rules(h or []) for h in b.column(len(fixed)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(fixed)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], [*fixed, "level", "component"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in headers.schema if f.name in fixed) + ", level string, component string"
+    rest = rows.filter(has & F.col("_level").isNull()).select(*fixed, "head").mapInArrow(outliers, schema)
+    return settled.unionByName(rest)
 
 
 def _chunked(df: DataFrame, by: str = "line_number") -> DataFrame:
@@ -182,23 +204,24 @@ def entry_instants(headers: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(carry, ["path", "chunk"], "left").select("line_id", "path", "line_number", F.when(late, F.col("late")).otherwise(F.col("early")).alias("ts_us"), "own")
 
 
-def headers_of(line_matches: DataFrame, source_files: DataFrame, support: float = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def headers_of(line_matches: DataFrame, source_files: DataFrame, heads: bool = True) -> tuple[DataFrame, DataFrame]:
     """The header rows of all log files, written once, and the log files (path, zone, first_day)."""
-    lines = lines_of(line_matches)
     files = source_files.filter("language = 'log' and path is not null").select("path", "zone", "first_day").dropDuplicates(["path"])
-    headers = cut(parse_lines(lines, mine_frequent(lines, support)).join(files.select("path"), "path", "left_semi"))
-    return headers, files
+    lines, paths = lines_of(line_matches), files.select("path")
+    if files.count() <= FILES:
+        return cut(parse_lines(lines.join(F.broadcast(paths), "path", "left_semi"), heads)), files
+    return cut(parse_lines(lines, heads).join(paths, "path", "left_semi")), files
 
 
-def find_entries(line_matches: DataFrame, source_files: DataFrame) -> DataFrame:
+def find_entries(line_matches: DataFrame, source_files: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The entries of log files: (path, first_line, last_line, level, component)."""
     headers, _ = headers_of(line_matches, source_files)
-    return entry_extents(headers)
+    return entry_extents(with_fields(headers, mine_templates(headers, support)))
 
 
 def find_instants(line_matches: DataFrame, source_files: DataFrame) -> DataFrame:
     """(line_id, ts_us) of the rows of log files whose original holds an entry's own timestamp."""
-    headers, files = headers_of(line_matches, source_files)
+    headers, files = headers_of(line_matches, source_files, heads=False)
     return entry_instants(headers, files).filter("own").select("line_id", "ts_us")
 
 
@@ -213,7 +236,7 @@ def full_entries(line_matches: DataFrame, source_files: DataFrame) -> DataFrame:
     one task's group.
     """
     headers, files = headers_of(line_matches, source_files)
-    entries = cut(entry_extents(headers))
+    entries = cut(entry_extents(with_fields(headers, mine_templates(headers))))
     owner = with_owner(headers).select("path", "line_number", "owner")
     instants = entry_instants(headers, files).groupBy("path", "line_number").agg(F.max("ts_us").alias("ts_us")).join(owner.dropDuplicates(["path", "line_number"]), ["path", "line_number"])
     instants = instants.groupBy("path", F.col("owner").alias("first_line")).agg(F.max("ts_us").alias("ts_us"))
@@ -228,13 +251,13 @@ def full_entries(line_matches: DataFrame, source_files: DataFrame) -> DataFrame:
     parts = lines.groupBy("path", "first_line", F.floor((F.col("line_number") - F.col("first_line")) / PART).alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_number", "text"))).alias("l"))
 
     @F.pandas_udf("string")
-    def message(texts, part):  # noqa: ANN001, ANN202
+    def message(texts, part, level, component):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([message_of(list(t)) if p == 0 else "\n".join(map(clean, t)) for t, p in zip(texts, part)], dtype=object)
+        return pd.Series([message_of(list(t), a, b) if p == 0 else "\n".join(map(clean, t)) for t, p, a, b in zip(texts, part, level, component)], dtype=object)
 
-    parts = parts.select("path", "first_line", "part", message(F.transform("l", lambda x: x["text"]), "part").alias("message"))
-    return entries.join(parts, ["path", "first_line"]).join(instants, ["path", "first_line"], "left").select("path", "first_line", "last_line", "level", "component", "ts_us", "part", "message")
+    text = message(F.transform("l", lambda x: x["text"]), "part", "level", "component").alias("message")
+    return entries.join(parts, ["path", "first_line"]).select("path", "first_line", "last_line", "level", "component", "part", text).join(instants, ["path", "first_line"], "left").select("path", "first_line", "last_line", "level", "component", "ts_us", "part", "message")
 
 
-__all__ = ["BRACE", "MEMBER", "NONE", "START", "entry_extents", "entry_instants", "find_entries", "find_instants", "full_entries", "headers_of", "lines_of", "mine_frequent", "parse_lines", "with_owner"]
+__all__ = ["BRACE", "MEMBER", "NONE", "START", "entry_extents", "entry_instants", "find_entries", "find_instants", "full_entries", "headers_of", "lines_of", "mine_templates", "parse_lines", "with_fields", "with_owner"]

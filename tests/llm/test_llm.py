@@ -310,3 +310,40 @@ def test_look_passes_what_the_patterns_match():
         matched = [label for rx, label in pii._FORMS if rx.search(text)]
         assert matched and all(may >> label & 1 for label in matched), (text, matched, may)
     assert all(pii.candidate(f"{t.title()} Xqwert", pii.Lexicon()) for t in pii.TITLES)
+
+
+def test_unknown_names_are_the_fields_decision():
+    given, family = ["Ana", "Bert", "Cleo", "Dora", "Emil", "Fay"], ["Quixano", "Rambert", "Solander", "Tavistock", "Ullrich", "Varnham"]
+    draw = random.Random(2)
+    full = [f"{draw.choice(given)} {draw.choice(family)}" for _ in range(200)]
+    lex = pii.lexicon(full)
+    texts = [f"ticket opened by {n}, see log" if k % 2 else f"owner={n}; retry in {k} s" for k, n in enumerate(full)] + [f"build step {k} of the parser failed in module core" for k in range(200)]
+    field = pii.fit(texts, lex)
+    names = lambda f, t: [(t[a:b]) for a, b, k in f.spans([t])[0] if k == "NAME"]
+    unseen = "ticket opened by Zebulon Quartermain, see log"
+    assert pii.candidate(unseen, lex) and names(field, unseen) == ["Zebulon Quartermain"]
+    field.own[:], field.left[:], field.right[:] = 0, 0, 0
+    field._ids.clear()
+    field._rows = field._rows[:0]
+    assert names(field, unseen) == []
+
+
+def test_a_clear_place_decides_for_a_doubtful_one_in_the_same_document():
+    field = pii.fit([], pii.Lexicon())
+    field.own[:], field.left[:], field.right[:] = 0, 0, 0
+    field.own[pii._slot("w", "?"), 0] = 1.0  # unknown words are rather no names
+    field.vocabulary = frozenset({"by", "ticket"})
+    field.own[pii._slot("w", "by"), 0] = field.own[pii._slot("w", "ticket"), 0] = 9.0
+    field.left[pii._slot("w", "by"), 5] = 4.0  # behind "by" they are
+    field.skip[5, 5] = field.skip[0, 0] = 3.0
+    field.chain[5, 5] = 2.0
+    texts = ["ticket by Zebulon Quartermain", "Zebulon Quartermain ticket"]
+    apart, together = field.spans(texts, ["x", "y"]), field.spans(texts, ["x", "x"])
+    assert [bool(s) for s in apart] == [True, False] and [bool(s) for s in together] == [True, True]
+
+
+def test_names_are_counted_over_all_rows(spark):
+    df = spark.createDataFrame([(f"Ana Quixano {k}" if k % 7 == 0 else "Bert Rambert" if k % 2 else "Solander, Cleo",) for k in range(3000)] + [(None,), ("",), ("Once Only",)], "name string")
+    lex = pii.names_of(df.repartition(7))
+    assert lex.given == {"bert", "cleo"} and lex.family == {"rambert", "solander"}
+    assert pii.names_of(df.limit(0)).all == set()

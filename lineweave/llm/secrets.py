@@ -59,7 +59,7 @@ _ID = re.compile(
 _HEX = re.compile(r"(?i)^(?:0x)?[0-9a-f]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 #: How the keys of ISSUED begin, for a line that breaks one off early.
 _BEGUN = re.compile(r"[\"'`](?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[spr]k_(?:live|test)_|AIza|hv[sbr]\.|npm_|pypi-|SG\.|eyJ)[\w.-]*(?=[\"'`]\s*(?:\+|\\|\.|&|,)*\s*\\?$)")
-_URL = re.compile(r"\b[a-zA-Z][\w+.-]{1,20}://([^\s:@/'\"`]{0,64}):([^\s@/'\"`]{1,200}|[^\s'\"`]{1,200}?)@(?=[\w\[$.-])")
+_URL = re.compile(r"\b[a-zA-Z][\w+.-]{1,20}://([^\s:@/'\"`]*):([^\s@/'\"`]+|[^\s'\"`]+?)@(?=[\w\[$.-])")
 _HEADER = re.compile(r"(?i)\b(Basic|Bearer|Token|Digest)\s+([A-Za-z0-9+/_=.\-]{8,})")
 _QUOTED = re.compile(r'"((?:[^"\\]|\\.)*)"?|\'((?:[^\'\\]|\\.)*)\'?|`([^`]*)`?')
 #: A name, a separator and a value that isn't quoted.
@@ -126,7 +126,7 @@ def find_in_line(text: str, folder: str = FOLDER) -> list[tuple[int, int]]:
     if not _WORTH.search(t):
         return []
     spans = [m.span() for m in ISSUED.finditer(t)]
-    for m in _URL.finditer(t):
+    for m in _URL.finditer(t) if "@" in t else ():
         if not _FILLER.match(m[2]):
             spans.append(m.span(2))
     for m in _HEADER.finditer(t):

@@ -9,8 +9,9 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 from dataclasses import dataclass
+from string import Formatter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import Pattern
@@ -57,6 +58,18 @@ def related_path(template: str, source: str) -> str:
     return template.format(dir=posixpath.dirname(source), stem=stem, ext=ext.lstrip("."), name=name)
 
 
+def _related(template: str, source: Column) -> Column:
+    """``related_path`` as an expression."""
+    folder, name = F.regexp_extract(source, r"^(.*?)/*[^/]*$", 1), F.regexp_extract(source, r"([^/]*)$", 1)
+    ending = r"^(\.*[^.].*)\.([^.]*)$"
+    stem, ext = F.when(name.rlike(ending), F.regexp_extract(name, ending, 1)).otherwise(name), F.regexp_extract(name, ending, 2)
+    parts = {"dir": folder, "name": name, "stem": stem, "ext": ext}
+    out = []
+    for text, key, _, _ in Formatter().parse(template):
+        out += [F.lit(text)] + ([parts[key]] if key is not None else [])
+    return F.concat(*out) if out else F.lit("")
+
+
 def _states(lines: DataFrame, ensured: list[Rule]) -> DataFrame:
     """(source, rule, has): of each related file of each rule, whether it holds the rule's pattern anywhere."""
     state = [F.when(_glob(F.col("source"), r.related_files), F.struct(F.lit(r.name).alias("rule"), F.col("value").rlike(Pattern(r.ensure_pattern).java).alias("has"))) for r in ensured]
@@ -67,8 +80,7 @@ def _targets(found: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, source, related_source): where rules name a related path, that of each triggering file."""
     out = found.select("rule", "source", F.lit("").alias("related_source")).filter("false")
     for r in rules:
-        path = F.udf(lambda s, t=r.related_path_template: related_path(t, s), "string")
-        out = out.unionByName(found.filter(F.col("rule") == r.name).select("rule", "source").distinct().withColumn("related_source", path("source")))
+        out = out.unionByName(found.filter(F.col("rule") == r.name).select("rule", "source").distinct().withColumn("related_source", _related(r.related_path_template, F.col("source"))))
     return out
 
 

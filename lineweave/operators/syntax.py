@@ -10,6 +10,7 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -19,12 +20,12 @@ from ..functions.regex import Pattern, expand, matches, template
 
 Range = tuple[int, int]
 SUPPORTED = {
-    "python": {"strings", "comments", "code", "functions", "classes", "imports", "tests", "docstrings"},
-    **{lang: {"strings", "comments", "code", "functions", "imports", "tests"} for lang in ("javascript", "typescript", "rust", "go")},
+    "python": {"strings", "comments", "code", "functions", "classes", "imports", "tests", "docstrings", "function_calls", "types", "identifiers", "control_flow"},
+    **{lang: {"strings", "comments", "code", "functions", "imports", "tests", "function_calls", "types", "identifiers", "macros", "control_flow"} for lang in ("javascript", "typescript", "rust", "go")},
     "json": {"strings", "keys", "values"}, "yaml": {"strings", "comments", "keys", "values"},
 }
 _LEX = {
-    "c": re.compile(r'(?P<comments>//[^\n]*|/\*.*?\*/)|(?P<strings>"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|\'(?:[^\'\\\n]|\\.){0,200}\')', re.S),
+    "c": re.compile(r'(?P<comments>//[^\n]*|/\*.*?\*/)|(?P<strings>"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\.)*`|\'(?:[^\'\\\n]|\\.)*\')', re.S),
     "rust": re.compile(r'(?P<comments>//[^\n]*|/\*.*?\*/)|(?P<strings>r#*".*?"#*|"(?:[^"\\]|\\.)*")', re.S),
     "yaml": re.compile(r'(?P<comments>(?<![^\s])#[^\n]*)|(?P<strings>"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\n]|\'\')*\')'),
     "json": re.compile(r'(?P<strings>"(?:[^"\\\n]|\\.)*")'),
@@ -89,11 +90,35 @@ def _python(text: str) -> dict[str, list[Range]]:
                 out["tests"].append(span(node))
         elif isinstance(node, ast.Import | ast.ImportFrom):
             out["imports"].append(span(node))
+        elif isinstance(node, ast.Call):
+            out["function_calls"].append(span(node))
+        elif isinstance(node, ast.Name):
+            out["identifiers"].append(span(node))
+        elif isinstance(node, ast.If | ast.For | ast.AsyncFor | ast.While | ast.Try | ast.With | ast.AsyncWith | ast.Match | ast.Return | ast.Break | ast.Continue | ast.Raise):
+            out["control_flow"].append(span(node))
+        for kind in ("annotation", "returns"):
+            if isinstance(getattr(node, kind, None), ast.expr):
+                out["types"].append(span(getattr(node, kind)))
         if isinstance(node, ast.Module | ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) and node.body and isinstance(node.body[0], ast.Expr) and isinstance(node.body[0].value, ast.Constant) and isinstance(node.body[0].value.value, str):
             out["docstrings"].append(span(node.body[0]))
     return out
 
 
+# Words of the languages that are no identifiers.
+_WORDS = set(
+    "if else for while loop match switch case return break continue try catch finally throw new function class extends const let var import export from default async await typeof instanceof in of void delete yield this super "
+    "fn pub use mod struct enum impl trait mut ref self Self where dyn move unsafe crate as type static func package interface map chan go defer select range fallthrough goto true false null undefined nil None".split()
+)
+#: Where a language writes types.
+_TYPE = {"javascript": r"\bclass\s+([A-Z]\w*)", "typescript": r"(?:[\w)\]?]\s*:|\bas|\b(?:class|interface|type|implements|extends))\s+([A-Za-z_][\w.]*(?:<[^<>\n]*>)?(?:\[\])*)", "rust": r"(?:[\w)]\s*:|->|\b(?:struct|enum|impl|trait|for))\s*&?(?:mut\s+)?([A-Z][\w:]*(?:<[^<>\n]*>)?|[iu](?:8|16|32|64|128|size)\b|f(?:32|64)\b|bool\b|str\b|char\b)", "go": r"(?:\btype\s+|[\w)]\s+\*?)(int(?:8|16|32|64)?\b|uint\w*|string\b|bool\b|error\b|float(?:32|64)\b|byte\b|rune\b|[A-Z]\w*)"}
+
+
+def _covered(ranges: list[Range], at: int) -> bool:
+    """Whether a place lies in one of the ranges, which are in order."""
+    k = bisect_right(ranges, (at, 1 << 62)) - 1
+    return k >= 0 and ranges[k][0] <= at < ranges[k][1]
+
+
 def _braces(text: str, heads: str, quiet: list[Range]) -> list[Range]:
     inside = set()
     for a, b in quiet:
@@ -132,10 +157,16 @@ def ranges(text: str, language: str, scope: list[str], exclude: list[str] = ())
             found["keys"] = [m.span(1) for m in re.finditer(r"(?m)^[ \t-]*([\w.-]+)(?=:(?:\s|$))", text)]
             found["values"] = [m.span(1) for m in re.finditer(r"(?m)^[ \t-]*[\w.-]+:[ \t]+([^\n#]+)", text)]
         else:
-            quiet = found["strings"] + found["comments"]
+            quiet = sorted(found["strings"] + found["comments"])
             found["functions"] = _braces(text, _FUNCTION[language], quiet)
             found["tests"] = _braces(text, _TEST[language], quiet)
             found["imports"] = [m.span() for m in re.finditer(_IMPORT[language], text, re.M)]
+            loud = lambda rx, k=0: [m.span(k) for m in re.finditer(rx, text, re.M) if not _covered(quiet, m.start(k))]
+            found["function_calls"] = [r for r in loud(r"(?<![\w.])(?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*(?=\()") if re.split(r"\W", text[r[0] : r[1]])[-1] not in _WORDS and not re.search(r"(?:\bfn|\bfunc|\bfunction)\s+$", text[: r[0]][-20:])]
+            found["identifiers"] = [r for r in loud(r"(?<![\w$])[A-Za-z_$][\w$]*") if text[r[0] : r[1]] not in _WORDS]
+            found["types"] = loud(_TYPE[language], 1)
+            found["macros"] = loud(r"\b\w+!(?=\s*[(\[{])|#!?\[[^\]]*\]") if language == "rust" else []
+            found["control_flow"] = loud(r"\b(?:if|else|for|while|loop|match|switch|case|return|break|continue|try|catch|throw|select|defer|goto)\b")
     found["code"] = _without(len(text), found.get("strings", []) + found.get("comments", []))
     inside = _merged([r for s in scope for r in found[s]]) if scope else [(0, len(text))]
     if not exclude:

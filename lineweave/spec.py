@@ -239,6 +239,27 @@ def to_dict(p: Pipeline) -> dict:
     return out
 
 
+def to_toml(p: Pipeline) -> str:
+    """The definition as TOML that ``loads`` reads back."""
+
+    def value(v: Any) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, list | tuple):
+            return "[" + ", ".join(map(value, v)) + "]"
+        if isinstance(v, dict):
+            return "{" + ", ".join(f"{json.dumps(k)} = {value(x)}" for k, x in v.items() if x is not None) + "}"
+        return json.dumps(v, ensure_ascii=False).replace("\x7f", "\\u007f")
+
+    d = to_dict(p)
+    lists = {k: d.pop(k) for k in ("step", "test") if k in d}
+    out = [f"{k} = {value(v)}" for k, v in d.items() if v not in (None, {}, "")]
+    for name, rows in lists.items():
+        for row in rows:
+            out += ["", f"[[{name}]]", *[f"{k} = {value(v)}" for k, v in row.items() if v is not None]]
+    return "\n".join(out) + "\n"
+
+
 # --- checks ----------------------------------------------------------------------------------------------------------
 
 

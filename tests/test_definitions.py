@@ -1,4 +1,5 @@
 import pytest
+import regex as rx
 
 from conftest import rows
 from lineweave import spec, streaming, testing
@@ -195,3 +196,65 @@ def test_exit_codes(spark, tmp_path, capsys):
     (tmp_path / "broken.toml").write_text("[[")
     assert main(["-c", str(tmp_path / "broken.toml")]) == CONFIG
     assert crossfile.outcome(2, "fail") == (False, "2 files lack what a rule asks for") and crossfile.outcome(2, "skip")[0]
+
+
+def test_toml_round_trip():
+    p = spec.from_dict({"name": "n", "settings": {"fixed_strings": True}, "aliases": {"x": "y"}, "step": [{"type": "substitute", "pattern": 'a"\\d\n', "replacement": "$1 ü"}, {"type": "block", "start_pattern": "^s", "action": {"mark_block": {"marker": "> "}}}, {"type": "transform", "pattern": ".*", "transform": {"type": "plugin", "name": "repeat", "args": [2]}}]})
+    again = spec.loads(spec.to_toml(p))
+    assert spec.to_dict(again) == spec.to_dict(p)
+
+
+def test_settings_that_forbid():
+    step = {"type": "filter", "pattern": "(a+)+$", "action": "keep_line"}
+    assert spec.problems(spec.from_dict({"settings": {"strict_mode": True, "pcre_mode": True}, "step": [step]}))
+    assert not spec.problems(spec.from_dict({"settings": {"strict_mode": True}, "step": [step]}))
+    assert spec.problems(spec.from_dict({"step": [{"type": "transform", "pattern": ".", "transform": {"type": "plugin", "name": "no such"}}]}))
+    assert spec.problems(spec.from_dict({"settings": {"max_line_length": 5, "mode": "slurp"}, "step": [step]}))
+
+
+def test_fixed_patterns_and_presets():
+    from lineweave.library import BUILTIN
+
+    hits = {"email": "a@b.co", "ipv4": "10.0.0.1", "ipv6": "1:2:3:4:5:6:7:8", "phone_us": "212-555-0130", "ssn": "912-34-5678", "date_iso": "2024-01-02", "date_us": "1/2/2024", "time_24h": "9:05", "datetime_iso": "2024-01-02 03:04:05", "uuid": "0" * 8 + "-0000-0000-0000-" + "0" * 12,
+            "hex_id": "deadbeef", "url": "https://x.example/a", "credit_card": "1234 5678 1234 5678", "api_key": "abc-def_ghi-jkl_mno-p", "base64": "QUJDREVGR0hJSktMTU5PUA==", "log_level": "ERROR", "timestamp_syslog": "Jan  2 03:04:05", "json_object": "{a}", "semver": "1.2.3-rc.1"}
+    assert set(hits) == set(BUILTIN) and len(BUILTIN) == 19
+    for name, text in hits.items():
+        assert rx.fullmatch(BUILTIN[name] + r"=*", text), name
+    assert spec.preset("rust") == spec.preset("cargo") and len(spec.PRESETS) == 7
+    with pytest.raises(spec.SpecError):
+        spec.preset("none")
+
+
+def test_scopes_of_calls_types_and_flow():
+    text = "fn go(n: u32) -> Option<Item> { if n > 0 { println!(\"if x()\"); return make(n); } None } // call()"
+    pick = lambda scope: [text[a:b] for a, b in syntax.ranges(text, "rust", [scope])]
+    assert pick("function_calls") == ["make"] and pick("macros") == ["println!"] and pick("control_flow") == ["if", "return"]
+    assert pick("types") == ["u32", "Option<Item>"] and "n" in pick("identifiers") and "call" not in pick("identifiers")
+    code = "def f(a: int) -> str:\n    if a:\n        return g(a)\n"
+    pick = lambda scope: [code[a:b] for a, b in syntax.ranges(code, "python", [scope])]
+    assert pick("function_calls") == ["g(a)"] and pick("types") == ["int", "str"] and pick("control_flow")[0].startswith("if a")
+
+
+def test_plugins_from_a_folder_and_shell_warnings(tmp_path):
+    from lineweave.functions import transforms as tf
+
+    (tmp_path / "shout.sh").write_text("tr a-z A-Z\n")
+    assert tf.load_plugins(str(tmp_path)) == ["shout"] and tf.load_plugins(str(tmp_path / "none")) == []
+    assert tf.action({"type": "plugin", "name": "shout"})("abc") == "ABC"
+    del tf.REGISTRY["shout"]
+    assert [w.split(":")[0] for w in tf.shell_warnings("curl x | sudo rm y > z")] == ["rm", "curl", "sudo", ">"] and tf.shell_warnings("sort") == []
+
+
+def test_related_paths_as_expressions(spark):
+    from pyspark.sql import functions as F
+
+    paths = ["a/b/c.rs", "x.py", "/r/.hidden", "d/no", "e/f.tar.gz", "g/..x.y"]
+    for template in ("{dir}/tests/{stem}_test.{ext}", "docs/{name}.md", "{stem}"):
+        df = spark.createDataFrame([(p,) for p in paths], "s string").select("s", crossfile._related(template, F.col("s")).alias("r"))
+        assert {r.s: r.r for r in df.collect()} == {p: crossfile.related_path(template, p) for p in paths}
+
+
+def test_examples_by_sign():
+    assert discovery.examples("+ AB-1\n# note\n- AB1\nCD-2\n\n") == (["AB-1", "CD-2"], ["AB1"])
+    with pytest.raises(ValueError):
+        discovery.learn(["x"] * (discovery.MOST_EXAMPLES + 1))

@@ -212,7 +212,21 @@ QUERIES["stream_summary"] = lambda s, d: (lambda p: streaming.summary(p, streami
 SQL["stream_summary"] = _LINES + " SELECT count(*) AS lines, count(*) FILTER (regexp_matches(value, '[0-9]') OR contains(value, 'offset')) AS matched, count(*) FILTER (regexp_matches(value, '[0-9]')) AS step_0, count(*) FILTER (contains(value, 'offset')) AS step_1 FROM lines"
 QUERIES["windowed_events"] = lambda s, d: streaming.windowed_counts(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "1 hour")
 SQL["windowed_events"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
-QUERIES["commit_messages"] = lambda s, d: discovery.commits(t(s, d, "documents").select("doc_id", "text"), "text").filter("type is not null").select("doc_id", "type", "scope", "breaking", "description")
+QUERIES["commit_messages"] = lambda s, d: discovery.commits(_messages(s, d), "text").filter("type is not null").select("line_id", "type", "scope", "breaking", "description")
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
+    """Log lines rewritten as commit messages: the component as the scope, the level as the type."""
+    head = r"(?i)^.*\b(error|info|warn|debug)\b[\] ]+([a-z-]+)\.([a-z]+): "
+    kind = F.create_map(*[F.lit(x) for x in ("error", "fix", "info", "feat", "warn", "perf!", "debug", "none")])[F.lower(F.regexp_extract("original_line", head, 1))]
+    scope = F.concat(F.lit("("), F.regexp_extract("original_line", head, 2), F.lit(")"))
+    plain = F.concat(F.replace(kind, F.lit("!"), F.lit("")), scope, F.when(kind.endswith("!"), "!").otherwise(""), F.lit(": "), F.regexp_replace("original_line", head, ""))
+    return t(s, d, "line_matches").filter(F.col("original_line").rlike(head)).select("line_id", plain.alias("text"))
+
+
+SQL["commit_messages"] = r"""WITH m AS (SELECT line_id, lower(regexp_extract(original_line, '(?i)^.*\b(error|info|warn|debug)\b[\] ]+([a-z-]+)\.([a-z]+): ', 1)) AS l, regexp_extract(original_line, '(?i)^.*\b(error|info|warn|debug)\b[\] ]+([a-z-]+)\.([a-z]+): ', 2) AS scope,
+regexp_replace(original_line, '(?i)^.*\b(error|info|warn|debug)\b[\] ]+([a-z-]+)\.([a-z]+): ', '') AS description FROM line_matches WHERE regexp_matches(original_line, '(?i)^.*\b(error|info|warn|debug)\b[\] ]+([a-z-]+)\.([a-z]+): '))
+SELECT line_id, CASE l WHEN 'error' THEN 'fix' WHEN 'info' THEN 'feat' ELSE 'perf' END AS type, scope, l = 'warn' AS breaking, regexp_extract(description, '[^\n]+') AS description FROM m WHERE l <> 'debug' AND regexp_matches(description, '^[^\n]')"""
 # --- log entries beside what the drivers compare -----------------------------------------------------------------------
 QUERIES["p1_levels"] = lambda s, d: log_entries.find_entries(t(s, d, "line_matches"), t(s, d, "source_files")).groupBy("component", "level").agg(F.count("*").alias("entries"))
 QUERIES["p1_entries"] = lambda s, d: log_entries.full_entries(t(s, d, "line_matches"), t(s, d, "source_files"))

@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("-r", "--replacement")
     a.add_argument("--extract", action="store_true")
     a.add_argument("--transform")
-    a.add_argument("--preset", choices=sorted(spec.PRESETS))
+    a.add_argument("--preset", choices=sorted([*spec.PRESETS, *spec.PRESET_ALIASES]))
     for name in ("count", "explain", "lint", "validate", "test", "stats", "json", "line-numbers"):
         a.add_argument(f"--{name}", action="store_true")
     a.add_argument("paths", nargs="*")
@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
         return PATTERN
     from pyspark.sql import SparkSession
 
-    from .engine import run
+    from .engine import finalize, run
     from .plans import ship
     from .sources import sinks
     from .sources.lines import discover, read_lines
@@ -64,10 +64,12 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
     if not files:
         return IO if errors else USAGE
-    r = run(p, read_lines(spark, [f"file://{f}" if f.startswith("/") else f for f in files]), stats=o.stats)
+    r = run(p, read_lines(spark, [f"file://{f}" if f.startswith("/") else f for f in files]), stats=o.stats or p.finalize is not None)
     lines = sinks.numbered(r.lines) if o.line_numbers else r.lines
     n = 0
-    if o.count:
+    if p.finalize and p.finalize.suppress_output:
+        n = r.lines.limit(1).count()
+    elif o.count:
         for row in lines.groupBy("source").count().orderBy("source").toLocalIterator():
             n += row["count"]
             print(f"{row['source']}:{row['count']}")
@@ -75,6 +77,8 @@ def main(argv: list[str] | None = None) -> int:
         for row in lines.orderBy("source", "line_no").toLocalIterator():
             n += 1
             print(row.value if not o.json else sinks.envelope("processing", {"source": row.source, "line": row.line_no, "text": row.value}))
+    if p.finalize and (summary := finalize(p, r)):
+        print(summary)
     if o.stats:
         for row in r.stats.orderBy("step_index").collect():
             print(row.asDict(), file=sys.stderr)

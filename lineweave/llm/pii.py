@@ -1,17 +1,20 @@
 """Personal information in free text: found by a skip-chain conditional random field, replaced by typed placeholders.
 
-The field's variables are the labels of the tokens of a document: the lines of a file, the originals of a pipeline's mappings, as
-far as they come in one batch of a task. Besides each token's own features (its word, shape, place in a name lexicon, the number
-or address form it is part of, and those of its neighbours) there are potentials between neighbouring tokens and between distant
-tokens with the same word (skip edges, in a record and between the records of a document), so that a name that is clear in one
-place is labelled alike in another. Labels come from loopy sum-product message passing. It is fitted by pseudo-likelihood on a
+The field's variables are the labels of the tokens of a document: the lines of a file, the originals of a pipeline's mappings.
+Besides each token's own features (its word, shape, place in a name lexicon, the number or address form it is part of, and those
+of its neighbours) there are potentials between neighbouring tokens and between distant tokens with the same word (skip edges, in
+a record and between the records of a document), so that a name that is clear in one place is labelled alike in another. A word
+is linked with its place before in the record, a capitalised one also with its last place in the document's records before,
+however far that is. Labels come from loopy sum-product message passing. It is fitted by pseudo-likelihood on a
 bounded sample whose marks come from the forms below and from names of the samples table (distant supervision). Which tokens
 are a name is the field's decision; the lexicon is one of its features, which the fit hides at every third name, so that names that
 stand in no lexicon are found by their shape, their neighbours and their other places.
 
 Only lines that hold something like a candidate (one cheap test each, which lets unknown pairs of capitalised words through) are
-passed through the field; the test looks at whole lines, and everything runs in one scan without a shuffle. A label counts only
-if what it covers also has the form of its kind.
+passed through the field; the test looks at whole lines, and the texts are scanned once. Lines that may be linked with others are
+shuffled by document; those of a large document by ranges of its order (blocks of bounded size), which send each other a message a sweep for each
+link between them. So no task holds a large document, and neither that nor how the tables are split changes a result. A label
+counts only if what it covers also has the form of its kind.
 
 Defined results: null and blank texts hold nothing; repeated rows are each found; a record with several of one kind gives one
 row for that kind.
@@ -19,15 +22,17 @@ row for that kind.
 
 from __future__ import annotations
 
+import marshal
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import cut
@@ -41,6 +46,10 @@ TRAIN_RECORDS = 3_000
 LEXICON_SHARE = 1e-5
 SIZE = 1 << 15
 STEPS, SWEEPS = 100, 4
+#: About so many records go through the field at a time; a document's, or block's, are not parted.
+AT_A_TIME = 400
+#: A document with more linkable records than this is several blocks.
+BLOCK = 4096
 #: What has the form of a kind counts as it unless another label is likelier by more than this (log odds).
 NEAR = 4.0
 #: And so it is with names that have a name's form by the lexicon; other tokens are names only where no label is likelier.
@@ -93,12 +102,18 @@ _ADDRESS_WORDS = set(_STREETS.split("|")) | {"box", "pobox", "obox", "postfach",
 _AFTER_AT = re.compile(r"\s?[A-Za-z0-9][A-Za-z0-9-]*(?:\s?[.(\[{<\s])")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
+_ASCII_LETTERS = re.compile("[a-z]{2,}")
 _TITLED = re.compile(rf"\b(?i:{'|'.join(sorted(TITLES))})(?:\.\s*|\s+)[^\W\d_a-z]")
 _INITIAL = re.compile(r"(?<![\w.])[A-Z]\. ?[A-Z][^\W\d_]{2,}")
 #: Two or more capitalised words in a row, as a name in full has; a first word and an initial count too.
 _PAIR = re.compile(r"(?<![\w.])[A-Z][^\W\d_A-Z]+(?:[-'][A-Z][^\W\d_]+)?,? (?:[A-Z]\. )?[A-Z][^\W\d_A-Z]+")
 
 
+def _words(low: str) -> list[str]:
+    """The words of a text in lower case."""
+    return (_ASCII_LETTERS if low.isascii() else _LETTERS).findall(low)
+
+
 def _possible(text: str, low: str, words: list[str]) -> int:
     """A bit for each form that a text may hold; a cheap look before the patterns that passes all they match."""
     if not text.isascii() and _ODD.search(text):
@@ -113,14 +128,14 @@ def _possible(text: str, low: str, words: list[str]) -> int:
                 out = 2
                 break
             at = text.find("@", at + 1)
-    m = text.encode("utf-8", "replace").translate(_DIGIT_MASK)
-    if b"00" in m:
+    m = text.encode("utf-8", "replace").translate(_DIGIT_MASK).decode("latin-1")  # a look into bytes takes longer
+    if "00" in m:
         # What each form of a phone number holds somewhere, with every digit as 0, or begins with.
-        if b"000-0000" in m or b"000.0000" in m or b"000 0000" in m or b"+0" in m or b"0000000000" in m or _ZERO.search(text):
+        if "000-0000" in m or "000.0000" in m or "000 0000" in m or "+0" in m or "0000000000" in m or _ZERO.search(text):
             out |= 4
-        if b"00-0000" in m or b"00 0000" in m or (b"00 00 00" in m or b"0000" in m) and _NINO.search(text):
+        if "00-0000" in m or "00 0000" in m or ("00 00 00" in m or "0000" in m) and _NINO.search(text):
             out |= 8
-    if not out & 8 and b"0" in m and ("id" in words or any(w.startswith(_ID_STARTS) for w in words)):
+    if not out & 8 and "0" in m and ("id" in words or any(w.startswith(_ID_STARTS) for w in words)):
         out |= 8
     if not _ADDRESS_WORDS.isdisjoint(words) or (
         "str" in low and ("straße" in low or "strasse" in low or "str." in low) or "gasse" in low or "weg " in low or "allee" in low or "platz" in low or "ring " in low or "damm " in low
@@ -134,7 +149,7 @@ def forms(text: str) -> list[tuple[int, int, int]]:
     """(start, end, label) of what has the form of an address or number, without overlaps; URLs' user parts are none."""
     out: list[tuple[int, int, int]] = []
     low = text.lower()
-    may = _possible(text, low, _LETTERS.findall(low))
+    may = _possible(text, low, _words(low))
     for rx, label in _FORMS:
         if not may >> label & 1:
             continue
@@ -223,7 +238,7 @@ def lexicon_of(given: dict[str, int], family: dict[str, int], least: float = 2)
 def candidate(text: str, lex: Lexicon) -> bool:
     """Whether a line can hold personal information at all."""
     low = text.lower()
-    words = _LETTERS.findall(low)
+    words = _words(low)
     if not lex.all.isdisjoint(words):
         return True
     may = _possible(text, low, words)
@@ -256,20 +271,21 @@ class Record:
         same_left[1:], same_right[:-1] = f[1:] == f[:-1], f[1:] == f[:-1]
         return f + (len(LABELS) - 1) * ((f > 0) & ~same_left & ~same_right)
 
-    def __init__(self, text: str, doc: object = None, lex: Lexicon | None = None) -> None:
+    def __init__(self, text: str, doc: object = None, lex: Lexicon | None = None, known: tuple[list, np.ndarray] | None = None) -> None:
+        """known: the record's spans and form, if they have been worked out before."""
         self.text, self.doc = text, doc
         found = list(_TOKEN.finditer(text))
         self.words, self.at = [m[0] for m in found], [m.span() for m in found]
-        self.spans = forms(text)
-        self.form = np.zeros(len(found), np.int64)
-        k = 0
-        for i, (a, b) in enumerate(self.at):
-            while k < len(self.spans) and self.spans[k][1] <= a:
-                k += 1
-            if k < len(self.spans) and self.spans[k][0] <= a and b <= self.spans[k][1]:
-                self.form[i] = self.spans[k][2]
-        if lex is not None:
-            self.form[name_marks(self, lex)] = 5  # a feature as the other forms are, and as open to doubt
+        self.spans, self.form = known or (forms(text), np.zeros(len(found), np.int64))
+        if known is None:
+            k = 0
+            for i, (a, b) in enumerate(self.at):
+                while k < len(self.spans) and self.spans[k][1] <= a:
+                    k += 1
+                if k < len(self.spans) and self.spans[k][0] <= a and b <= self.spans[k][1]:
+                    self.form[i] = self.spans[k][2]
+            if lex is not None:
+                self.form[name_marks(self, lex)] = 5  # a feature as the other forms are, and as open to doubt
         last: dict[str, int] = {}
         self.skips: list[tuple[int, int]] = []
         self.capitals: list[tuple[int, str]] = []
@@ -412,43 +428,72 @@ class Field:
 
     def beliefs(self, records: list[Record]) -> np.ndarray:
         """The log marginal of each token's labels, up to a constant, after loopy message passing."""
+        return self.swept(records, SWEEPS)[0]
+
+    def swept(self, records: list[Record], sweeps: int, at: np.ndarray | None = None, back: np.ndarray | None = None, heard: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(beliefs after so many sweeps, what the tokens ``at`` say in each sweep and the next to those elsewhere that they are linked with).
+
+        ``back`` tells whether a link leads to a later record; ``heard`` is what its other end said in each of the sweeps.
+        """
+        k = len(LABELS)
         node = self.node(records)
         pairs, far = self.edges(records)
-        if len(pairs):
-            n, a, b = int((~far).sum()), pairs[:, 0], pairs[:, 1]
-            chain, skip = np.exp(self.chain - self.chain.max()), np.exp(self.skip - self.skip.max())
-            fwd, bwd = np.zeros((len(pairs), len(LABELS))), np.zeros((len(pairs), len(LABELS)))
-
-            def passed(x: np.ndarray, there: bool) -> np.ndarray:
-                """The messages over all edges, each up to a constant: sums over labels as matrix products."""
-                p = np.exp(x - x.max(1, keepdims=True))
-                m = np.concatenate([p[:n] @ (chain if there else chain.T), p[n:] @ (skip if there else skip.T)])
-                return np.log(m / m.max(1, keepdims=True) + 1e-30)
-
-            for _ in range(SWEEPS):
-                belief = node.copy()
-                for k in range(len(LABELS)):
-                    belief[:, k] += np.bincount(b, fwd[:, k], len(node)) + np.bincount(a, bwd[:, k], len(node))
-                fwd, bwd = passed(belief[a] - bwd, True), passed(belief[b] - fwd, False)
-            for k in range(len(LABELS)):
-                node[:, k] += np.bincount(b, fwd[:, k], len(node)) + np.bincount(a, bwd[:, k], len(node))
-        return node - node.max(1, keepdims=True)
+        n, a, b = int((~far).sum()), pairs[:, 0], pairs[:, 1]
+        at = np.zeros(0, int) if at is None else at
+        chain, skip = np.exp(self.chain - self.chain.max()), np.exp(self.skip - self.skip.max())
+        fwd, bwd, came = np.zeros((len(pairs), k)), np.zeros((len(pairs), k)), np.zeros((len(at), k))
+        said = []
+        scaled = lambda x: np.exp(x - x.max(1, keepdims=True))
+        logs = lambda m: np.log(m / m.max(1, keepdims=True) + 1e-30)
+
+        def passed(x: np.ndarray, there: bool) -> np.ndarray:
+            """The messages over all edges, each up to a constant: sums over labels as matrix products."""
+            p = scaled(x)
+            return logs(np.concatenate([p[:n] @ (chain if there else chain.T), p[n:] @ (skip if there else skip.T)]))
+
+        def believed() -> np.ndarray:
+            out = node.copy()
+            for c in range(k):
+                out[:, c] += np.bincount(b, fwd[:, c], len(node)) + np.bincount(a, bwd[:, c], len(node))
+                if len(at):
+                    out[:, c] += np.bincount(at, came[:, c], len(node))
+            own = out[at] - came
+            said.append(own - own.max(1, keepdims=True))
+            return out
+
+        for i in range(sweeps):
+            belief = believed()
+            fwd, bwd = passed(belief[a] - bwd, True), passed(belief[b] - fwd, False)
+            if len(at):
+                p = scaled(heard[i])
+                came = logs(np.where(back[:, None], p @ skip.T, p @ skip))
+        belief = believed()
+        return belief - belief.max(1, keepdims=True), said
 
     def spans(self, texts: list[str], docs: list | None = None) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the personal information in each text; texts of one document are looked at together."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         some = [(i, Record(t, docs[i] if docs else None, self.lex)) for i, t in enumerate(texts) if t and candidate(t, self.lex)]
         some.sort(key=lambda x: (x[1].doc is not None, x[1].doc or ""))
-        for k in range(0, len(some), 400):
-            part = [x for x in some[k : k + 400] if x[1].words]
-            if not part:
-                continue
-            y, at = self.beliefs([r for _, r in part]), 0
-            for i, r in part:
-                out[i] = self._decoded(r, y[at : at + len(r.words)])
-                at += len(r.words)
+        for (i, _), found in zip(some, self.spans_of([r for _, r in some])):
+            out[i] = found
+        return out
+
+    def spans_of(self, records: list[Record]) -> list[list[tuple[int, int, str]]]:
+        """The same of records; those of a document follow one another."""
+        out, start = [], 0
+        for k in range(1, len(records) + 1):
+            if k == len(records) or k - start >= AT_A_TIME and (records[k].doc is None or records[k].doc != records[k - 1].doc):
+                part = records[start:k]
+                some = [r for r in part if r.words]
+                out += self.decoded(part, self.beliefs(some) if some else np.zeros((0, len(LABELS))))
+                start = k
         return out
 
+    def decoded(self, records: list[Record], y: np.ndarray) -> list[list[tuple[int, int, str]]]:
+        ends = np.cumsum([len(r.words) for r in records]).tolist()
+        return [self._decoded(r, y[e - len(r.words) : e]) for r, e in zip(records, ends)]
+
     def _decoded(self, r: Record, y: np.ndarray) -> list[tuple[int, int, str]]:
         found = []
         for a, b, label in r.spans:
@@ -555,13 +600,14 @@ def fit(texts: list[str], lex: Lexicon, docs: list | None = None) -> Field:
 
 
 def records_of(line_matches: DataFrame, mapping_entries: DataFrame, samples: DataFrame) -> DataFrame:
-    """(field, record_id, text, doc) of the four fields; the doc is the file or the pipeline, samples stand alone."""
-    row = lambda df, f, i, c, doc: df.select(F.lit(f).alias("field"), F.col(i).cast("long").alias("record_id"), F.col(c).alias("text"), (F.col(doc) if doc in df.columns else F.lit(None)).cast("string").alias("doc")).filter("text is not null")
+    """(field, record_id, text, doc, place) of the four fields; the doc is the file or the pipeline, place orders its records, samples stand alone."""
+    col = lambda df, c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+    row = lambda df, f, i, doc, place: df.select(F.lit(f).alias("field"), F.col(i).cast("long").alias("record_id"), F.col(f).alias("text"), col(df, doc, "string").alias("doc"), F.coalesce(col(df, place, "long"), F.col(i).cast("long"), F.lit(0)).alias("place")).filter("text is not null")
     return (
-        row(line_matches, "original_line", "line_id", "original_line", "path")
-        .unionByName(row(mapping_entries, "original", "entry_id", "original", "pipeline_id"))
-        .unionByName(row(samples, "email", "sample_id", "email", None))
-        .unionByName(row(samples, "phone", "sample_id", "phone", None))
+        row(line_matches, "original_line", "line_id", "path", "line_number")
+        .unionByName(row(mapping_entries, "original", "entry_id", "pipeline_id", "entry_id"))
+        .unionByName(row(samples, "email", "sample_id", None, None))
+        .unionByName(row(samples, "phone", "sample_id", None, None))
     )
 
 
@@ -604,21 +650,161 @@ def train(records: DataFrame, names: DataFrame) -> Field:
     return fit([r.text for r in rows], lex, [r.doc for r in rows])
 
 
+_RESULT = pa.schema([("field", pa.string()), ("record_id", pa.int64()), ("kinds", pa.list_(pa.string())), ("redacted", pa.string())])
+#: Results, and the linkable records with their order in their document.
+_FIRST = pa.schema([*_RESULT, ("doc", pa.string()), ("place", pa.int64()), ("tie", pa.int64()), ("id", pa.int64()), ("state", pa.binary())])
+#: A block's records, and their capitalised words with first and last place.
+_BLOCKS = pa.schema([("block", pa.int64()), ("state", pa.binary()), ("field", pa.string()), ("doc", pa.string()), ("place", pa.int64()), ("record_id", pa.int64()), ("tie", pa.int64()), ("id", pa.int64()), ("word", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
+#: A block's records, and what is said to its tokens by those of other blocks.
+_MAIL = pa.schema([("block", pa.int64()), ("state", pa.binary()), ("id", pa.int64()), ("at", pa.int32()), ("back", pa.bool_()), ("from_block", pa.int64()), ("from_id", pa.int64()), ("from_at", pa.int32()), ("said", pa.binary())])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'array<string>' if pa.types.is_list(f.type) else {'int64': 'bigint', 'int32': 'int', 'bool': 'boolean'}.get(str(f.type), str(f.type))}" for f in schema)
+
+
+def _batch(schema: pa.Schema, rows: list[tuple], *names: str) -> pa.RecordBatch:
+    """The rows' named columns (all, if none is named); others are null."""
+    given = dict(zip(names or schema.names, zip(*rows)))
+    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block; they are sorted by it, the first column."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[0][0] != row[0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _packed(name: str, record_id: int | None, place: int, tie: int, key: int, r: Record) -> bytes:
+    return marshal.dumps(((name, r.doc, place, record_id is not None, record_id or 0, tie, key), r.text, r.form.astype(np.int8).tobytes(), r.spans))
+
+
+def _unpacked(states: list[bytes]) -> list[tuple[tuple, Record]]:
+    """(order, record) in order; a record's document is known by field and name."""
+    return [(o, Record(text, o[:2], known=(spans, np.frombuffer(form, np.int8).astype(np.int64)))) for o, text, form, spans in sorted(map(marshal.loads, states))]
+
+
+def _ends(r: Record) -> dict[str, tuple[int, int]]:
+    """The first and last place of a record's capitalised words."""
+    out: dict[str, tuple[int, int]] = {}
+    for i, w in r.capitals:
+        out[w] = out.get(w, (i, i))[0], i
+    return out
+
+
+def _results(some: list[tuple[tuple, Record]], found: list, every: bool) -> pa.RecordBatch:
+    return _batch(_RESULT, [(o[0], o[4] if o[3] else None, sorted({k for _, _, k in s}), redact(r.text, s)) for (o, r), s in zip(some, found) if s or every])
+
+
 def find_spans(records: DataFrame, model: Field, every: bool = False) -> DataFrame:
-    """(field, record_id, kinds, redacted) of the records that hold personal information, or with ``every`` of all."""
+    """(field, record_id, kinds, redacted) of the records that hold personal information, or with ``every`` of all.
+
+    A scan settles the records without capitalised words of a document, and a shuffle by document the others. Blocks of a large
+    document first learn which of their tokens are linked with another block's, from a window over its words. Then, sweep by
+    sweep, each tells the others what these tokens say, and after the last its records are settled.
+    """
     shared = records.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, key = shared.value, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            names, ids, texts, docs, places = (c.to_pylist() for c in batch.columns)
+            settled, lone, linkable = [], [], []
+            for i, t in enumerate(texts):
+                if not t or not candidate(t, m.lex):
+                    if every:
+                        settled.append((names[i], ids[i], [], t))
+                    continue
+                r = Record(t, docs[i], m.lex)
+                if r.capitals:
+                    key, tie = key + 1, zlib.crc32(t.encode())
+                    linkable.append((names[i], ids[i], docs[i], places[i], tie, key, _packed(names[i], ids[i], places[i], tie, key, r)))
+                else:
+                    r.doc = None
+                    lone.append((i, r))
+            for (i, _), s in zip(lone, m.spans_of([r for _, r in lone])):
+                if s or every:
+                    settled.append((names[i], ids[i], sorted({k for _, _, k in s}), redact(texts[i], s)))
+            yield _batch(_FIRST, settled, *_RESULT.names)
+            yield _batch(_FIRST, linkable, "field", "record_id", "doc", "place", "tie", "id", "state")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records of whole documents."""
+        some: list[tuple[tuple, Record]] = []
+        for rows in _groups(batches):
+            some += _unpacked([r[1] for r in rows])
+            if len(some) >= AT_A_TIME:
+                yield _results(some, shared.value.spans_of([r for _, r in some]), every)
+                some = []
+        yield _results(some, shared.value.spans_of([r for _, r in some]), every)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of large documents, whose records are in order."""
+        block, size, doc = TaskContext.get().partitionId() << 33, 0, None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = m.spans(texts, batch.column(3).to_pylist())
-            keep = [i for i, s in enumerate(found) if s or every]
-            at = pa.array(keep, pa.int32())
-            kinds = [sorted({k for _, _, k in found[i]}) for i in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds, pa.list_(pa.string())), pa.array([redact(texts[i], found[i]) for i in keep], pa.string())], ["field", "record_id", "kinds", "redacted"])
-
-    return records.select("field", "record_id", "text", "doc").mapInArrow(run, "field string, record_id bigint, kinds array<string>, redacted string")
+            states, rows = batch.column(0).to_pylist(), []
+            blocks = []
+            for state in states:
+                ((o, r),) = _unpacked([state])
+                if size == most or doc != o[:2]:
+                    block, size, doc = block + 1, 0, o[:2]
+                size += 1
+                blocks.append((block, state))
+                rows += [(block, o[0], o[1], o[2], o[4] if o[3] else None, o[5], o[6], w, a, b) for w, (a, b) in _ends(r).items()]
+            yield _batch(_BLOCKS, blocks, "block", "state")
+            yield _batch(_BLOCKS, rows, *(n for n in _BLOCKS.names if n != "state"))
+
+    def sweep(batches: Iterator[pa.RecordBatch], heard: int) -> Iterator[pa.RecordBatch]:
+        """What a block's tokens say after so many sweeps; after the last its results."""
+        m, k = shared.value, len(LABELS)
+        for rows in _groups(batches):
+            states, mail = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
+            if not mail and heard < SWEEPS:
+                yield _batch(_MAIL, states)
+                continue
+            some = _unpacked([r[1] for r in states])
+            base = dict(zip([o[6] for o, _ in some], np.cumsum([0] + [len(r.words) for _, r in some]).tolist()))
+            at, back = np.array([base[r[2]] + r[3] for r in mail], int), np.array([r[4] for r in mail], bool)
+            came = np.frombuffer(b"".join(r[8] for r in mail), np.float32).reshape(len(mail), heard, k).astype(float)
+            y, said = m.swept([r for _, r in some], heard, at, back, [came[:, i] for i in range(heard)])
+            if heard == SWEEPS:
+                yield _results(some, m.decoded([r for _, r in some], y), every)
+            else:
+                say = np.stack(said, 1).astype(np.float32)
+                yield _batch(_MAIL, states + [(r[5], None, r[6], r[7], not r[4], r[0], r[2], r[3], x.tobytes()) for r, x in zip(mail, say)])
+
+    most, order = BLOCK, ["place", "record_id", "tie", "id"]
+    first = cut(records.select("field", "record_id", "text", "doc", "place").mapInArrow(scan, _ddl(_FIRST)))
+    linkable = first.filter("state is not null")
+    large = cut(linkable.groupBy("field", "doc").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    together = lambda df: df.repartition("block").sortWithinPartitions("block")
+    whole = lambda df: together(df.select(F.xxhash64("field", "doc").alias("block"), "state")).mapInArrow(settle, _ddl(_RESULT))
+    out = first.filter("kinds is not null").select(*_RESULT.names)
+    if large.isEmpty():
+        return out.unionByName(whole(linkable))
+    # At most one row of large for BLOCK records.
+    sized = linkable.join(F.broadcast(large), ["field", "doc"], "left")
+    ordered = sized.filter("n is not null").repartitionByRange("field", "doc", *order).sortWithinPartitions("field", "doc", *order)
+    blocks = cut(ordered.select("state").mapInArrow(parts, _ddl(_BLOCKS)))
+    chain = Window.partitionBy("field", "doc", "word").orderBy(*order)
+
+    def end(at: str, back: bool, other: Callable, other_at: str) -> Column:
+        beside = lambda c: other(c).over(chain)
+        return F.struct("block", "id", F.col(at).alias("at"), F.lit(back).alias("back"), beside("block").alias("from_block"), beside("id").alias("from_id"), beside(other_at).alias("from_at"), F.lit(b"").alias("said"))
+
+    links = blocks.filter("word is not null").select(end("first", False, F.lag, "last").alias("l"), end("last", True, F.lead, "first").alias("r"))
+    links = links.select(F.explode(F.array("l", "r")).alias("x")).select("x.*").filter("block != from_block")
+    mail = blocks.filter("state is not null").select("block", "state").unionByName(links, allowMissingColumns=True).select(*_MAIL.names)
+    for k in range(SWEEPS + 1):
+        mail = together(mail).mapInArrow(lambda b, k=k: sweep(b, k), _ddl(_RESULT if k == SWEEPS else _MAIL))
+    return out.unionByName(whole(sized.filter("n is null"))).unionByName(mail)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -342,6 +342,32 @@ def test_a_clear_place_decides_for_a_doubtful_one_in_the_same_document():
     assert [bool(s) for s in apart] == [True, False] and [bool(s) for s in together] == [True, True]
 
 
+@pytest.mark.parametrize("block", [pii.BLOCK, 60])
+def test_links_reach_over_batches_and_tasks(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    field = pii.fit([], pii.Lexicon())
+    field.own[pii._slot("w", "?"), 0] = 1.0
+    field.vocabulary = frozenset({"by", "ticket", "passed"})
+    field.own[pii._slot("w", "by"), 0] = field.own[pii._slot("w", "ticket"), 0] = field.own[pii._slot("w", "passed"), 0] = 9.0
+    field.left[pii._slot("w", "by"), 5] = 4.0
+    field.skip[5, 5] = field.skip[0, 0] = 3.0
+    field.chain[5, 5] = 2.0
+    # A clear place and a doubtful one 900 records later, then names that are only settled by way of another record.
+    doc = ["ticket by Zebulon Quartermain"] + [f"Passed Check{k} Xa{'bcdefghij'[k % 9]} Done{k}" for k in range(900)] + ["Zebulon Quartermain ticket", "Quartermain Ysolde ticket", "Other Words ticket"]
+    rows = [("original_line", n, t, path, n) for path, some in (("x", doc), ("y", doc[1:])) for n, t in enumerate(some)] + [("email", n, "Zebulon Quartermain ticket", None, None) for n in range(2)]
+    schema = "field string, record_id long, text string, doc string, place long"
+    got = []
+    for order, parts in ((rows, 1), (rows[::-1], 7), (random.Random(4).sample(rows, len(rows)), 3)):
+        records = spark.createDataFrame(spark.sparkContext.parallelize(order, parts), schema)
+        got.append(sorted((r.field, r.record_id, r.redacted) for r in pii.find_spans(records, field).collect()))
+        assert pii.find_spans(records, field, every=True).count() == len(rows)
+    assert got[0] == got[1] == got[2]
+    whole = field.spans([r[2] for r in rows], [r[3] for r in rows])
+    assert got[0] == sorted((r[0], r[1], pii.redact(r[2], s)) for r, s in zip(rows, whole) if s)
+    assert ("original_line", 901, "<NAME> ticket") in got[0] and ("original_line", 902, "<NAME> ticket") in got[0]
+    assert not any("<NAME> ticket" == x[2] and x[1] in (0, 1, 900, 903) for x in got[0])  # not those of another document, nor samples
+
+
 def test_names_are_counted_over_all_rows(spark):
     df = spark.createDataFrame([(f"Ana Quixano {k}" if k % 7 == 0 else "Bert Rambert" if k % 2 else "Solander, Cleo",) for k in range(3000)] + [(None,), ("",), ("Once Only",)], "name string")
     lex = pii.names_of(df.repartition(7))
